@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, token_counts
+from . import decontaminate, packing, quality, repeats, token_counts
 
-MODULES = [packing, token_counts, decontaminate]
+MODULES = [repeats, packing, quality, token_counts, decontaminate]
 
 
 def queries() -> dict:
