@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import cut, documents, join_small, parts
+from .cluster import cut, documents, parts
 
 LENGTH, Q = 50, 16
 WINDOW = LENGTH - Q + 1
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cols = [doc[head], *((x).astype(np.int32) for x in (a[head] - base, end - base, end - a[head], gone))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in SPANS.split(", ")])
 
-    windows = join_small(texts, live, "doc_id").select("doc_id", "text", "live").mapInArrow(step3, _schema(3))
+    windows = texts.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(step3, _schema(3))
     runs = _spread(windows, n).mapInArrow(step4, _schema(4))
     return _spread(runs, n).mapInArrow(step5, SPANS)
 
