@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import cut, documents, join_small, plan_bytes
+from .cluster import documents, plan_bytes
 
 #: Words that must agree; an item of fewer words must be found whole.
 LEAST = 13
@@ -120,6 +120,21 @@ def _best(doc: np.ndarray, item: np.ndarray, length: np.ndarray, at: np.ndarray,
     return order[np.r_[True, (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])]] if len(order) else order
 
 
+def _slices(benchmark: DataFrame, least: int) -> Iterator:
+    """The items, broadcast in as many slices as their size asks for; each slice is searched in a scan of its own."""
+    tests = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    estimate = plan_bytes(benchmark)
+    turns = max(1, -(-4 * estimate // ITEMS)) if estimate < 1 << 60 else 1
+    for turn in range(turns):
+        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text").toArrow()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(rows["item_id"].to_numpy(), rows["text"].combine_chunks(), least))
+
+
+def _ended(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word hashes with a 0 after each text: no match goes beyond it."""
+    return np.insert(np.maximum(T.hashes(data, starts, ends), np.uint64(1)), first[1:], np.uint64(0))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The longest verbatim match of each document with each benchmark item, from least words on (or the whole item).
 
@@ -127,13 +142,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
     one length the first in the document, then in the item, is given. Repeated ids count as one document or item with
     several texts. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    tests = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    turns = max(1, -(-4 * plan_bytes(benchmark) // ITEMS)) if plan_bytes(benchmark) < 1 << 60 else 1
     out = None
-    for turn in range(turns):  # as many scans as the benchmark's size asks for
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text").toArrow()
-        items = spark.sparkContext.broadcast(Items(rows["item_id"].to_numpy(), rows["text"].combine_chunks(), least))
+    for items in _slices(benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             test, words, rest, size = items.value, [], [], 0
@@ -153,9 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 for i, j, data, _, starts, ends, first in T.blocks(b.column(1)):
-                    h = np.maximum(T.hashes(data, starts, ends), np.uint64(1))
-                    # a 0 after each document: no match goes beyond it
-                    words.append(np.insert(h, first[1:], np.uint64(0)))
+                    words.append(_ended(data, starts, ends, first))
                     rest.append((ids[i:j], first[:-1] + np.arange(j - i) + size))
                     size += len(words[-1])
                     if size >= SHARD:
@@ -170,8 +178,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents that match no benchmark item, with all their columns; those with a null doc_id stay."""
-    return join_small(docs, cut(matches(docs, benchmark, least).select("doc_id").distinct()), "doc_id", "left_anti")
+    """The rows whose text matches no benchmark item, with all their columns, in one scan and without a shuffle.
+
+    Each row is judged by its own text, so a null doc_id makes no difference; null and empty texts stay.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+    for items in _slices(benchmark, least):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep, words, begins, size = np.ones(b.num_rows, bool), [], [], 0
+                row = 0
+                for i, j, data, _, starts, ends, first in T.blocks(b.column(at)):
+                    words.append(_ended(data, starts, ends, first))
+                    begins.append(first[:-1] + np.arange(j - i) + size)
+                    size += len(words[-1])
+                    if size >= SHARD or j == b.num_rows:
+                        where, _, _ = search(np.concatenate(words), items.value, least)
+                        keep[row + np.searchsorted(np.concatenate(begins), where, "right") - 1] = False
+                        words, begins, size, row = [], [], 0, j
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing, quality, repeats, token_counts
+from . import decontaminate, jaccard, packing, pii, quality, repeats, token_counts
 
-MODULES = [jaccard, repeats, packing, quality, token_counts, decontaminate]
+MODULES = [jaccard, repeats, packing, quality, pii, token_counts, decontaminate]
 
 
 def queries() -> dict:
