@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, packing, pii, quality, repeats, token_counts, vectors
+from . import chat, decontaminate, jaccard, packing, pages, pii, quality, repeats, token_counts, vectors
 
-MODULES = [chat, jaccard, repeats, packing, quality, pii, token_counts, vectors, decontaminate]
+MODULES = [chat, jaccard, repeats, packing, quality, pii, token_counts, vectors, decontaminate, pages]
 
 
 def queries() -> dict:
