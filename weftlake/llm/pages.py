@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,122 +36,182 @@ _BLOCK = {"p", "div", "li", "br", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "ul"
 SLOTS = "page_id bigint, host string, slot int, text string"
 
 
-def tokenize(page: str, hashed: dict[str, int]) -> tuple[list[int], list[str]]:
-    """Token hashes in order (odd ones are words), and what each is: the tag, or the word (entities decoded).
+class Reader:
+    """Splits pages into tokens. A token's number is a hash of its path, one of itself, and a last bit: 1 for a word."""
 
-    Scripts, styles and comments are one token each without what is in them. A block tag closes an open paragraph; inline
-    tags don't change the path, so one that is never closed does no harm.
-    """
-    ids: list[int] = []
-    shown: list[str] = []
-    path: list[str] = []
-    where = ""
-    last = 0
-    get = hashed.get
-
-    def add(key: str, what: str) -> None:
-        v = get(key)
+    def __init__(self):
+        self.paths: dict[str, int] = {}
+        self.tags: dict[str, int] = {}
+        self.words: dict[int, dict[str, int]] = {}
+        self.known = 0
+
+    def path(self, where: str) -> int:
+        v = self.paths.get(where)
         if v is None:
-            v = hashed[key] = hash64(key) & ~1 | (what[0] != "<" or what[-1] != ">")
-        ids.append(v)
-        shown.append(what)
-
-    for m in _TAG.finditer(page):
-        if m.start() > last:
-            for w in html.unescape(page[last : m.start()]).split():
-                add(f"{where} {w}", w)
-        last = m.end()
-        name = (m[1] or m[3] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            add(f"{where}<{name}>", f"<{name}>")
-            continue
-        if m[2]:
-            if name in path and name not in _INLINE:
-                while path.pop() != name:
-                    pass
-                where = "/".join(path)
-            add(f"{where}</{name}>", f"</{name}>")
-            continue
-        if name in _BLOCK and path and path[-1] == "p":
-            path.pop()
-            where = "/".join(path)
-        attribute = _CLASS.search(m[4]) if m[4] else None
-        add(f"{where}<{name}.{attribute[1]}>" if attribute else f"{where}<{name}>", f"<{name}>")
-        if name not in _VOID and name not in _INLINE and not m[4].rstrip().endswith("/"):
-            path.append(name)
-            where = "/".join(path)
-    for w in html.unescape(page[last:]).split():
-        add(f"{where} {w}", w)
-    return ids, shown
-
-
-def hash64(key: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(key) >> 1
+            v = self.paths[where] = hash31(where)
+        return v
+
+    def word_ids(self, path: int, words: list[str]) -> list[int]:
+        known = self.words.get(path)
+        if known is None:
+            if self.known > 400_000:
+                self.words.clear()
+                self.known = 0
+            known = self.words[path] = _Words(self, path)
+        return list(map(known.__getitem__, words))
+
+    def items(self, page: str) -> list[tuple[int, int, str]]:
+        """(number, path, tag) of each tag and (-1, path, text) of each text between tags, entities decoded.
+
+        Scripts, styles and comments are one token each without what is in them. A block tag closes an open paragraph; inline
+        tags don't change the path, so one that is never closed does no harm.
+        """
+        out: list[tuple[int, int, str]] = []
+        if len(self.tags) > 200_000:
+            self.tags.clear()
+            self.paths.clear()
+        path: list[str] = []
+        where, here, last = "", self.path(""), 0
+        for m in _TAG.finditer(page):
+            begin, end = m.span()
+            if begin > last:
+                text = page[last:begin]
+                if not text.isspace():
+                    out.append((-1, here, html.unescape(text) if "&" in text else text))
+            last = end
+            script, slash, name, rest = m.groups()
+            if script:
+                key, shown = f"{where}<{script.lower()}>", f"<{script.lower()}>"
+            elif not name:
+                continue
+            else:
+                name = name.lower()
+                if slash:
+                    if name in path and name not in _INLINE:
+                        while path.pop() != name:
+                            pass
+                        where = "/".join(path)
+                        here = self.path(where)
+                    key = shown = f"</{name}>"
+                    key = where + key
+                else:
+                    if name in _BLOCK and path and path[-1] == "p":
+                        path.pop()
+                        where = "/".join(path)
+                        here = self.path(where)
+                    found = _CLASS.search(rest) if rest else None
+                    shown = f"<{name}>"
+                    key = f"{where}<{name}.{found[1]}>" if found else where + shown
+                    if name not in _VOID and name not in _INLINE and not rest.rstrip().endswith("/"):
+                        path.append(name)
+                        where = "/".join(path)
+                        here = self.path(where)
+            v = self.tags.get(key)
+            if v is None:
+                v = self.tags[key] = hash31(key) << 32 | hash31(key + " ") << 1
+            out.append((v, here, shown))
+        if last < len(page) and not page[last:].isspace():
+            out.append((-1, here, html.unescape(page[last:])))
+        return out
+
+    def numbers(self, page: str) -> list[int]:
+        """All tokens of a page in order."""
+        out: list[int] = []
+        for v, path, what in self.items(page):
+            if v >= 0:
+                out.append(v)
+            else:
+                out += self.word_ids(path, what.split())
+        return out
+
+
+class _Words(dict):
+    def __init__(self, reader: Reader, path: int):
+        self.reader, self.base = reader, path << 32
+
+    def __missing__(self, word: str) -> int:
+        self.reader.known += 1
+        v = self[word] = self.base | hash31(word) << 1 | 1
+        return v
+
+
+def hash31(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key) >> 33
 
 
 def page_random(ids: np.ndarray) -> np.ndarray:
     return T.mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(99)) | np.uint64(1)
 
 
-def _fresh(hashed: dict) -> dict:
-    if len(hashed) > 400_000:
-        hashed.clear()
-    return hashed
-
-
 def vectors(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
-    """Token, pages, occurrences and occurrence-vector sum, of tokens on a share of the pages."""
-    hashed: dict[str, int] = {}
-    tokens, counts, owner = [], [], []
+    """Token, pages, occurrences, occurrence-vector sum and sum of first places, of tokens on a share of the pages."""
+    reader = Reader()
+    parts: list[tuple[np.ndarray, ...]] = []
     for i, p in enumerate(pages):
-        u, c = np.unique(np.array(tokenize(p, _fresh(hashed))[0], np.int64), return_counts=True)
-        tokens.append(u)
-        counts.append(c)
-        owner.append(np.full(len(u), i))
-    t, c, o = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, counts, owner))
+        u, place, c = np.unique(np.array(reader.numbers(p), np.int64), return_index=True, return_counts=True)
+        parts.append((u, place, c, np.full(len(u), i)))
+    t, place, c, o = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
     order = np.argsort(t, kind="stable")
-    t, c, r = t[order], c[order], page_random(page_ids)[o[order]]
+    t, place, c, r = t[order], place[order], c[order], page_random(page_ids)[o[order]]
     head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
     n = np.diff(np.r_[head, len(t)])
-    occ = np.add.reduceat(c, head) if len(t) else c
-    fp = np.add.reduceat(c.astype(np.uint64) * r, head) if len(t) else r
+    add = lambda x: np.add.reduceat(x, head) if len(t) else x
     ok = n >= share * len(pages)
-    return t[head][ok], n[ok], occ[ok], fp[ok].view(np.int64)
+    return t[head][ok], n[ok], add(c)[ok], add(c.astype(np.uint64) * r)[ok].view(np.int64), add(place)[ok]
 
 
 class Template:
     """The classes of one host: frame tokens in order, and of each other class its tokens in order."""
 
     def __init__(self, frame: list[int], nested: list[list[int]]):
-        self.frame, self.nested = frame, nested
+        self.nested = nested
         self.place = {t: i for i, t in enumerate(frame)}
         self.member = {t: (c, i) for c, tokens in enumerate(nested) for i, t in enumerate(tokens)}
+        self.worded = {t >> 32 for t in [*self.place, *self.member] if t & 1}
 
-    def walk(self, ids: list[int]) -> tuple[list[int], list[bool], dict[int, tuple[bool, int, int]]]:
-        """Gap of the frame that each token is in, whether it is template, and of each class on the page whether its tokens
-        are in order and the first and last gap it is in."""
-        gap, at = [], 0
-        skip = []
+    def walk(self, reader: Reader, page: str) -> tuple[list[tuple[int, str, bool]], dict[int, tuple[bool, int, int]], list[int]]:
+        """Tags and what isn't template, and the gap of the frame they are in; of each class on the page whether its tokens are in order
+        and the first and last gap it is in; frame tokens that come too late."""
+        rest: list[tuple[int, str, bool]] = []
         seen: dict[int, list] = {}
-        for t in ids:
-            p = self.place.get(t)
-            if p is not None and p >= at:
-                at = p + 1
-                gap.append(at)
-                skip.append(True)
-                continue
-            gap.append(at)
-            m = self.member.get(t)
-            skip.append(m is not None)
-            if m is not None:
-                s = seen.setdefault(m[0], [True, at, at, 0])
-                s[0] &= m[1] == s[3]
-                s[1], s[2], s[3] = min(s[1], at), max(s[2], at), (m[1] + 1) % len(self.nested[m[0]])
-        return gap, skip, {c: (s[0] and s[3] == 0, s[1], s[2]) for c, s in seen.items()}
+        late: list[int] = []
+        at = 0
+        place, member, worded = self.place, self.member, self.worded
+        for number, path, what in reader.items(page):
+            if number < 0:
+                if path not in worded:
+                    rest.append((at, what, False))
+                    continue
+                words = what.split()
+                todo = list(zip(reader.word_ids(path, words), words))
+            else:
+                todo = ((number, what),)
+            for t, shown in todo:
+                p = place.get(t)
+                if p is not None:
+                    if p >= at:
+                        at = p + 1
+                    else:
+                        late.append(t)
+                    if number >= 0:
+                        rest.append((at, shown, True))
+                    continue
+                m = member.get(t)
+                if m is not None:
+                    s = seen.setdefault(m[0], [True, at, at, 0])
+                    s[0] &= m[1] == s[3]
+                    s[1], s[2], s[3] = min(s[1], at), max(s[2], at), (m[1] + 1) % len(self.nested[m[0]])
+                if m is None or number >= 0:
+                    rest.append((at, shown, number >= 0))
+        return rest, {c: (s[0] and s[3] == 0, s[1], s[2]) for c, s in seen.items()}, late
+
+
+def _template(known: dict[str, Template], row) -> Template:
+    if row.host not in known:
+        if len(known) > 5000:
+            known.clear()
+        known[row.host] = Template(row.frame, row.nested)
+    return known[row.host]
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
@@ -184,68 +245,40 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         t = t.sort_by([("page_id", "ascending"), ("html", "ascending")])
-        token, pages_, occ, fp = vectors(t["html"].to_pylist(), t["page_id"].to_numpy(), SHARE)
-        return pa.table([pa.array([t["host"][0].as_py()] * len(token), pa.string()), *(pa.array(x.astype(np.int64)) for x in (token, pages_, occ, fp))], names=["host", "token", "pages", "occ", "fp"])
+        found = vectors(t["html"].to_pylist(), t["page_id"].to_numpy(), SHARE)
+        return pa.table([pa.array([t["host"][0].as_py()] * len(found[0]), pa.string()), *(pa.array(x.astype(np.int64)) for x in found)], names=["host", "token", "pages", "occ", "fp", "place"])
 
-    counted = grouped.repartition(n, "host", "g").groupBy("host", "g").applyInArrow(count, "host string, token bigint, pages bigint, occ bigint, fp bigint")
+    counted = grouped.repartition(n, "host", "g").groupBy("host", "g").applyInArrow(count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint")
     # sums wrap around: two halves are added apart and put together
     low, high = F.sum(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("fp", 32))
-    total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"))
+    total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"))
     fp = F.struct(F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
     supported = total.join(F.broadcast(sizes) if 4 * plan_bytes(sizes) <= BROADCAST_BYTES else sizes, "host").where((F.col("pages") >= SUPPORT * F.col("n")) & (F.col("n") >= TEMPLATED) & ((F.col("n") >= WORDED) | (F.col("token") % 2 == 0)))
     is_frame = (F.col("pages") == F.col("n")) & (F.col("occ") == F.col("n"))
-    classes = supported.groupBy("host", fp.alias("fp"), is_frame.alias("frame")).agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
-    raw = cut(classes.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frame"), F.collect_list(F.when(~F.col("frame"), F.col("tokens"))).alias("nested")))
-
-    def order(source) -> Iterator[pa.RecordBatch]:
-        """Where each token of the classes first stands on the page, among the template's tokens."""
-        hashed: dict[str, int] = {}
-        for b, rows in source:
-            acc: dict[tuple[str, int], list[int]] = {}
-            for page, row in zip(b.column(2).to_pylist(), rows):
-                if row is None:
-                    continue
-                wanted = set(row.frame) | {t for c in row.nested for t in c}
-                first = list(dict.fromkeys(t for t in tokenize(page, _fresh(hashed))[0] if t in wanted))
-                for i, t in enumerate(first):
-                    a = acc.setdefault((row.host, t), [0, 0])
-                    a[0] += i
-                    a[1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in acc], pa.string()), pa.array([k[1] for k in acc], pa.int64()), pa.array([v[0] for v in acc.values()], pa.int64()), pa.array([v[1] for v in acc.values()], pa.int64())], ["host", "token", "place", "pages"])
-
-    placed = _by_host(h, raw, order, "host string, token bigint, place bigint, pages bigint").groupBy("host", "token").agg((F.sum("place") / F.sum("pages")).alias("place"))
-    slot = F.posexplode(F.concat(F.array("frame"), "nested")).alias("c", "tokens")
-    listed = raw.select("host", slot).select("host", "c", F.explode("tokens").alias("token")).join(placed, ["host", "token"])
+    # tokens of a class are on the same pages, so their mean first places are in the order that they have on the pages
     by_place = F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token)
-    ordered = cut(listed.groupBy("host", "c").agg(by_place.alias("tokens")).groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("c") == 0, F.col("tokens")))).alias("frame"), F.collect_list(F.when(F.col("c") > 0, F.col("tokens"))).alias("nested")))
+    classes = supported.groupBy("host", fp.alias("fp"), is_frame.alias("frame")).agg(by_place.alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
+    ordered = cut(classes.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frame"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
 
     def check(source) -> Iterator[pa.RecordBatch]:
         """Pages on which a frame token or a class is out of order, and the gaps that a class is in."""
-        hashed: dict[str, int] = {}
-        known: dict[str, Template] = {}
+        reader, known = Reader(), {}
         for b, rows in source:
             acc: dict[tuple[str, int, int], list[int]] = {}
             for page, row in zip(b.column(2).to_pylist(), rows):
                 if row is None:
                     continue
-                t = known.setdefault(row.host, Template(row.frame, row.nested)) if len(known) < 10_000 else Template(row.frame, row.nested)
-                ids = tokenize(page, _fresh(hashed))[0]
-                at = 0
-                for x in ids:  # frame tokens that come too late
-                    p = t.place.get(x)
-                    if p is not None:
-                        if p < at:
-                            acc.setdefault((row.host, -1, x), [0, 0, 0])[0] += 1
-                        else:
-                            at = p + 1
-                for c, (good, lo, hi) in t.walk(ids)[2].items():
+                _, seen, late = _template(known, row).walk(reader, page)
+                for x in late:
+                    acc.setdefault((row.host, -1, x), [0, 0, 0])[0] += 1
+                for c, (good, lo, hi) in seen.items():
                     a = acc.setdefault((row.host, c, 0), [0, lo, hi])
                     a[0] += not good
                     a[1], a[2] = min(a[1], lo), max(a[2], hi)
             keys, values = list(acc), list(acc.values())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), *(pa.array([v[i] for v in values], pa.int64()) for i in (0, 1, 2))], ["host", "c", "token", "bad", "lo", "hi"])
 
-    checked = _by_host(h, ordered, check, "host string, c bigint, token bigint, bad bigint, lo bigint, hi bigint").groupBy("host", "c", "token").agg(F.sum("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    checked = cut(_by_host(h, ordered, check, "host string, c bigint, token bigint, bad bigint, lo bigint, hi bigint").groupBy("host", "c", "token").agg(F.sum("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     late = checked.where("c = -1 and bad > 0").groupBy("host").agg(F.collect_list("token").alias("late"))
     valid = checked.where("c >= 0 and bad = 0 and lo = hi").groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
     frame = F.when(F.col("late").isNull(), F.col("frame")).otherwise(F.array_except("frame", "late"))
@@ -257,21 +290,18 @@ def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
     """(page_id, host, slot, text): what stands in each gap of the frame and isn't template, block tags as line breaks."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        hashed: dict[str, int] = {}
-        known: dict[str, Template] = {}
+        reader, known, whole = Reader(), {}, Template([], [])
         for b, rows in source:
             out: list[tuple] = []
             for page_id, host, page, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), rows):
-                t = Template([], []) if row is None else known.setdefault(host, Template(row.frame, row.nested)) if len(known) < 10_000 else Template(row.frame, row.nested)
-                ids, shown = tokenize(page, _fresh(hashed))
-                gap, skip, _ = t.walk(ids)
+                t = whole if row is None else _template(known, row)
                 slots: dict[int, list[str]] = {}
-                for g, s, w in zip(gap, skip, shown):
-                    if w[0] == "<" and w[-1] == ">" and len(w) > 2:
+                for g, w, is_tag in t.walk(reader, page)[0]:
+                    if is_tag:
                         if w.strip("</>") in _BLOCK and slots.get(g):
                             slots[g].append("\n")
-                    elif not s:
-                        slots.setdefault(g, []).append(w)
+                    else:
+                        slots.setdefault(g, []).append(" ".join(w.split()))
                 for g, words in sorted(slots.items()):
                     text = re.sub(r" ?\n[ \n]*", "\n", " ".join(words)).strip()
                     if text:
