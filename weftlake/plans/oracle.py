@@ -81,8 +81,8 @@ COLUMN_EDGES = f"""WITH {MODELS},
 {TABLES},
 {ITEMS},
 sole AS (SELECT unique_id, CASE WHEN count(*) = 1 THEN any_value(node_id) END AS single FROM tables GROUP BY 1),
-star AS (SELECT node_id AS source_node, c AS source_column, i.unique_id AS target_node, c AS target_column, 'star' AS confidence
-  FROM items i JOIN tables t USING (unique_id) JOIN customer ON t.node_id = 'model.customer_' || c_custkey, (VALUES ('id'), ('name')) v(c) WHERE is_star),
+star AS (SELECT node_id AS source_node, cc AS source_column, i.unique_id AS target_node, cc AS target_column, 'star' AS confidence
+  FROM items i JOIN tables t USING (unique_id) JOIN customer ON t.node_id = 'model.customer_' || c_custkey, (VALUES ('id'), ('name')) v(cc) WHERE is_star),
 plain AS (SELECT CASE WHEN is_derived THEN coalesce(single, '') ELSE coalesce(t.node_id, single) END AS source_node, CASE WHEN is_derived THEN '' ELSE source_column END AS source_column, i.unique_id AS target_node, column_name AS target_column,
   CASE WHEN is_derived THEN 'derived' WHEN source_alias IS NOT NULL AND source_column <> column_name THEN 'aliased' ELSE 'direct' END AS confidence
   FROM items i LEFT JOIN sole USING (unique_id) LEFT JOIN tables t ON t.unique_id = i.unique_id AND t.alias = i.source_alias WHERE NOT is_star)
