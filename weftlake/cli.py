@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import FileReadError, LineageError
 from .operators import build, diff, impact, select
+from .runtime import cut
 from .session import ship
 from .sinks import reports
 from .sources import artifacts, git, project
 
 
 def graph(spark: SparkSession, root: str | Path, manifest: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a manifest if one is given, else of the project's files."""
+    """Nodes and edges of a manifest if one is given, else of the project's files; written once, as all that follows rereads them."""
     if manifest:
-        return build.from_manifest(artifacts.read_manifest(spark, manifest))
-    return build.from_files(project.discover(spark, project.Project.load(root)))
+        made = build.from_manifest(artifacts.read_manifest(spark, manifest))
+    else:
+        made = build.from_files(cut(project.discover(spark, project.Project.load(root))))
+    return cut(made[0]), cut(made[1])
 
 
 def graph_at(spark: SparkSession, root: str | Path, ref: str) -> tuple[DataFrame, DataFrame]:
     """The graph at a revision: of its manifest if it has one, else of its files, edges included."""
     git.check_ref(root, ref)
     try:
-        return build.from_manifest(artifacts.parse_manifest(spark, git.show(root, ref, "target/manifest.json"), ref))
+        made = build.from_manifest(artifacts.parse_manifest(spark, git.show(root, ref, "target/manifest.json"), ref))
     except FileReadError:
         p = project.Project.load(root)
-        return build.from_files(git.files_at(spark, root, ref, {"model": p.model_paths, "seed": p.seed_paths, "snapshot": p.snapshot_paths, "test": p.test_paths}))
+        made = build.from_files(git.files_at(spark, root, ref, {"model": p.model_paths, "seed": p.seed_paths, "snapshot": p.snapshot_paths, "test": p.test_paths}))
+    return cut(made[0]), cut(made[1])
 
 
 def working_tree(spark: SparkSession, root: str | Path) -> tuple[DataFrame, DataFrame]:

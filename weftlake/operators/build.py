@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls, ids
 from ..functions.select_list import select_columns
+from ..runtime import cut
 from ..schemas import NODES
 from ..sources.project import schema_files
 
 _COLUMNS = [c.strip().split()[0] for c in NODES.split(", ")]
-_NONE = F.lit(None).cast("string")
-_EMPTY = F.array().cast("array<string>")
 
 
-def _nodes(df: DataFrame, unique_id, label, node_type, file_path=_NONE, description=_NONE, materialization=_NONE, tags=_EMPTY, columns=_EMPTY) -> DataFrame:
-    given = (unique_id, label, node_type if not isinstance(node_type, str) else F.lit(node_type), file_path, description, materialization, tags, columns)
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def node_rows(df: DataFrame, unique_id: Column, label: Column, node_type: Column | str, file_path=None, description=None, materialization=None, tags=None, columns=None) -> DataFrame:
+    """Rows of NODES; what isn't given is null, lists are empty."""
+    texts = [_none() if x is None else x for x in (file_path, description, materialization)]
+    lists = [_empty() if x is None else x for x in (tags, columns)]
+    given = (unique_id, label, F.lit(node_type) if isinstance(node_type, str) else node_type, *texts, *lists)
     return df.select(*(x.alias(n) for x, n in zip(given, _COLUMNS)))
 
 
@@ -24,12 +34,12 @@ def source_nodes(yaml: DataFrame) -> DataFrame:
     """A node for each table of each source; a table's description goes before its source's."""
     t = yaml.select("path", F.explode("sources").alias("s")).select("path", "s", F.explode("s.tables").alias("t"))
     label = F.concat_ws(".", "s.name", "t.name")
-    return _nodes(t, F.concat(F.lit("source."), label), label, "source", F.col("path"), F.coalesce("t.description", "s.description"))
+    return node_rows(t, F.concat(F.lit("source."), label), label, "source", F.col("path"), F.coalesce("t.description", "s.description"))
 
 
 def merged_tags(*lists) -> object:
     """Distinct tags of all lists, in order."""
-    return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(x, _EMPTY) for x in lists))))
+    return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(x, _empty()) for x in lists))))
 
 
 def model_meta(yaml: DataFrame) -> DataFrame:
@@ -43,7 +53,7 @@ def model_nodes(files: DataFrame, meta: DataFrame) -> DataFrame:
     """A node for each model file; SQL settings go before YAML's, tags of both are merged."""
     f = files.where("kind = 'model'").select("path", "content", ids.file_stem(F.col("path")).alias("name"), calls.config(F.col("content")).alias("sql"))
     f = f.join(meta.withColumnsRenamed({"tags": "yaml_tags", "materialized": "yaml_materialized"}), "name", "left")
-    return _nodes(f, F.concat(F.lit("model."), "name"), F.col("name"), "model", F.col("path"), F.col("description"), F.coalesce("sql.materialized", "yaml_materialized"), merged_tags(F.col("sql.tags"), F.col("yaml_tags")), select_columns("content"))
+    return node_rows(f, F.concat(F.lit("model."), "name"), F.col("name"), "model", F.col("path"), F.col("description"), F.coalesce("sql.materialized", "yaml_materialized"), merged_tags(F.col("sql.tags"), F.col("yaml_tags")), select_columns("content"))
 
 
 def duplicate_names(files: DataFrame) -> DataFrame:
@@ -54,14 +64,14 @@ def duplicate_names(files: DataFrame) -> DataFrame:
 def file_nodes(files: DataFrame, kind: str) -> DataFrame:
     """Nodes of seeds, snapshots or tests: one for each file."""
     f = files.where(F.col("kind") == kind).select("path", ids.file_stem(F.col("path")).alias("name"))
-    return _nodes(f, F.concat(F.lit(f"{kind}."), "name"), F.col("name"), kind, F.col("path"))
+    return node_rows(f, F.concat(F.lit(f"{kind}."), "name"), F.col("name"), kind, F.col("path"))
 
 
 def sql_calls(files: DataFrame) -> DataFrame:
     """(dst, ref_name, source_label, edge_type): a row for each call in models, snapshots and tests."""
     f = files.where("kind in ('model', 'snapshot', 'test')").select(F.concat_ws(".", "kind", ids.file_stem(F.col("path"))).alias("dst"), "content")
-    r = f.select("dst", F.explode(calls.refs(F.col("content"))).alias("c")).select("dst", F.col("c.name").alias("ref_name"), _NONE.alias("source_label"), F.lit("ref").alias("edge_type"))
-    s = f.select("dst", F.explode(calls.sources(F.col("content"))).alias("c")).select("dst", _NONE.alias("ref_name"), F.concat_ws(".", "c.source_name", "c.table_name").alias("source_label"), F.lit("source").alias("edge_type"))
+    r = f.select("dst", F.explode(calls.refs(F.col("content"))).alias("c")).select("dst", F.col("c.name").alias("ref_name"), _none().alias("source_label"), F.lit("ref").alias("edge_type"))
+    s = f.select("dst", F.explode(calls.sources(F.col("content"))).alias("c")).select("dst", _none().alias("ref_name"), F.concat_ws(".", "c.source_name", "c.table_name").alias("source_label"), F.lit("source").alias("edge_type"))
     return r.unionByName(s)
 
 
@@ -82,13 +92,13 @@ def phantoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A node for each start of an edge that is missing among the nodes."""
     missing = edges.select(F.col("src").alias("unique_id")).distinct().join(nodes.select("unique_id"), "unique_id", "left_anti")
     label = F.regexp_replace("unique_id", r"^[^.]*\.", "")
-    return _nodes(missing, F.col("unique_id"), label, "phantom")
+    return node_rows(missing, F.col("unique_id"), label, "phantom")
 
 
 def exposures(yaml: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of exposures, and edges from the refs among their dependencies that there are."""
     e = yaml.select("path", F.explode("exposures").alias("e"))
-    made = _nodes(e, F.concat(F.lit("exposure."), "e.name"), F.col("e.name"), "exposure", F.col("path"), F.col("e.description"))
+    made = node_rows(e, F.concat(F.lit("exposure."), "e.name"), F.col("e.name"), "exposure", F.col("path"), F.col("e.description"))
     d = e.select(F.concat(F.lit("exposure."), "e.name").alias("dst"), F.explode("e.depends_on").alias("d")).select("dst", calls.exposure_ref(F.col("d")).alias("ref_name")).where("ref_name is not null")
     found = d.join(resolve_refs(d, nodes), "ref_name").join(nodes.select("unique_id").distinct(), "unique_id", "left_semi")
     return made, found.select(F.col("unique_id").alias("src"), "dst", F.lit("exposure").alias("edge_type"))
@@ -96,11 +106,12 @@ def exposures(yaml: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a project's files."""
-    yaml = schema_files(files)
+    yaml = cut(schema_files(files))
     nodes = source_nodes(yaml).unionByName(model_nodes(files, model_meta(yaml)))
     for kind in ("seed", "snapshot"):
         nodes = nodes.unionByName(file_nodes(files, kind))
-    edges = sql_edges(sql_calls(files), nodes)
+    nodes = cut(nodes)
+    edges = cut(sql_edges(sql_calls(files), nodes))
     nodes = nodes.unionByName(file_nodes(files, "test"))
     nodes = nodes.unionByName(phantoms(edges, nodes))
     made, more = exposures(yaml, nodes)
@@ -116,9 +127,9 @@ def manifest_nodes(manifest: DataFrame) -> DataFrame:
     description = ids.non_blank(F.col("v.description"))
     label = F.concat_ws(".", "v.source_name", "v.name")
     return (
-        _nodes(s, ids.manifest_id(F.col("k")), label, "source", path, description)
-        .unionByName(_nodes(n, ids.manifest_id(F.col("k")), F.col("v.name"), ids.node_type(F.col("v.resource_type")), path, description, F.col("v.config.materialized"), F.coalesce("v.config.tags", _EMPTY)))
-        .unionByName(_nodes(e, ids.manifest_id(F.col("k")), F.coalesce("v.label", "v.name"), "exposure", _NONE, description))
+        node_rows(s, ids.manifest_id(F.col("k")), label, "source", path, description)
+        .unionByName(node_rows(n, ids.manifest_id(F.col("k")), F.col("v.name"), ids.node_type(F.col("v.resource_type")), path, description, F.col("v.config.materialized"), F.coalesce("v.config.tags", _empty())))
+        .unionByName(node_rows(e, ids.manifest_id(F.col("k")), F.coalesce("v.label", "v.name"), "exposure", _none(), description))
     )
 
 

@@ -14,12 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators.build import _nodes
+from ..operators.build import node_rows
 from ..runtime import cut
 
-_NO_TAGS = F.array().cast("array<string>")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,9 +53,8 @@ def _once(what: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
 
-    def made(df: DataFrame, kind: str, label, path=None, description=None, materialization=None, tags=_NO_TAGS) -> DataFrame:
-        null = F.lit(None).cast("string")
-        return _nodes(df, F.concat(F.lit(f"{kind}."), label), label, kind, null if path is None else path, null if description is None else description, null if materialization is None else materialization, tags)
+    def made(df: DataFrame, kind: str, label, path=None, description=None, materialization=None, tags=None) -> DataFrame:
+        return node_rows(df, F.concat(F.lit(f"{kind}."), label), label, kind, path, description, materialization, tags)
 
     name = lambda prefix, *c: F.concat(F.lit(prefix), _key(*c))
     file = lambda folder, prefix, c, suffix=".sql": F.concat(F.lit(folder), name(prefix, c), F.lit(suffix))
@@ -73,7 +69,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(made(o, "model", name("order_", "o_orderkey"), F.concat(stage, name("order_", "o_orderkey"), F.lit(".sql")), materialization=kind, tags=F.array("o_orderpriority")))
         .unionByName(made(t("supplier"), "snapshot", name("supplier_", "s_suppkey"), file("snapshots/", "supplier_", "s_suppkey")))
         .unionByName(made(t("part"), "source", name("parts.", "p_partkey")))
-        .unionByName(_nodes(rest, F.col("line_id"), F.substring_index("line_id", ".", -1), F.col("kind")))
+        .unionByName(node_rows(rest, F.col("line_id"), F.substring_index("line_id", ".", -1), F.col("kind")))
     )
 
 

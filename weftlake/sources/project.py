@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FileReadError, ProjectNotFound, YamlParseError
+from ..runtime import cut
 
 FILES = "path string, kind string, content string, modified_at timestamp"
 YAML = """sources array<struct<name:string,description:string,tables:array<struct<name:string,description:string>>>>,
@@ -79,7 +80,9 @@ def discover(spark: SparkSession, project: Project) -> DataFrame:
         for glob in ("*.yml", "*.yaml"):
             out = out.unionByName(_texts(spark, folder, glob).withColumn("kind", F.lit("yaml")))
     root = str(project.root.resolve()) + "/"
-    return out.withColumn("path", F.when(F.col("path").startswith(root), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path")))
+    relative = F.when(F.col("path").startswith(root), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
+    # many small files make many small partitions; written once, they are read as few
+    return cut(out.withColumn("path", relative).coalesce(spark.sparkContext.defaultParallelism))
 
 
 def _as_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
