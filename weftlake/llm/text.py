@@ -7,7 +7,10 @@ memory in proportion to its own words only.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 SPACE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
@@ -102,3 +105,17 @@ def blocks(texts: pa.Array, lower: bool = True, table: np.ndarray = WORD) -> Ite
         data, off = buffers(texts.slice(i, j - i), lower)
         yield (i, j, data, off, *spans(data, off, table))
         i = j
+    trim()
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where that can be asked for: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
