@@ -113,3 +113,13 @@ def test_ids(spark):
 
 def test_selectors():
     assert select.parse_selectors(" tag:a ,, path:b/c, m,") == [("tag", "a"), ("path", "b/c"), ("name", "m")] and select.parse_selectors("") == []
+
+
+def test_sql_functions(spark):
+    from weftlake.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "select a from {{ ref('p', 'm') }} join {{ source('s', 't') }} {# {{ ref('x') }} #}"), (2, None)], "id int, q string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, c.* FROM texts, LATERAL lineage_calls(q) c").collect()
+    assert sorted(map(tuple, got)) == [(1, "ref", "p", "m", None), (1, "source", None, "s", "t")]
+    assert spark.sql("SELECT select_columns(q) AS c FROM texts ORDER BY id").first().c == ["a"]

@@ -27,13 +27,17 @@ FILES = {
     "tests/positive.sql": "select * from {{ ref('spend') }} where total < 0",
     "snapshots/hist.sql": "select * from {{ ref('st_sales') }}",
 }
+
+
+def entry(key, kind=None, on=(), **more):
+    return {key: {"unique_id": key, "name": key.rpartition(".")[2], "depends_on": {"nodes": list(on)}, **({"resource_type": kind} if kind else {}), **more}}
+
+
 MANIFEST = {
-    "nodes": {
-        "model.shop.st": {"unique_id": "model.shop.st", "name": "st", "resource_type": "model", "depends_on": {"nodes": ["source.shop.raw.sales", "model.shop.nope"]}, "config": {"materialized": "view", "tags": ["x"]}, "description": " ", "extra": 1},
-        "model.shop.mart": {"unique_id": "model.shop.mart", "name": "mart", "resource_type": "analysis", "depends_on": {"nodes": ["model.st"]}, "config": {"materialized": "table"}, "description": "d", "path": "marts/mart.sql"},
-    },
-    "sources": {"source.shop.raw.sales": {"unique_id": "source.shop.raw.sales", "name": "sales", "source_name": "raw"}},
-    "exposures": {"exposure.shop.board": {"unique_id": "exposure.shop.board", "name": "board", "depends_on": {"nodes": ["model.shop.mart"]}}},
+    "nodes": entry("model.shop.st", "model", ["source.shop.raw.sales", "model.shop.nope"], config=dict(materialized="view", tags=["x"]), description=" ", extra=1)
+    | entry("model.shop.mart", "analysis", ["model.st"], config=dict(materialized="table"), description="d", path="marts/mart.sql"),
+    "sources": entry("source.shop.raw.sales", source_name="raw"),
+    "exposures": entry("exposure.shop.board", on=["model.shop.mart"]),
 }
 RESULTS = {"results": [
     {"unique_id": "model.shop.st_sales", "status": "error", "timing": []},

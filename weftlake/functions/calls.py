@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 _ANY = "['\"]"
 _NAME = f"{_ANY}([^'\"]+){_ANY}"
 _OPEN, _CLOSE = r"(?U)\{\{-?\s*", r"\s*-?\}\}"
-COMMENT = r"\{#[\s\S]*?#\}"
+COMMENT = r"(?s)\{#.*?#\}"
 TAG = r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}"
 REF = _OPEN + rf"ref\(\s*{_NAME}(?:\s*,\s*{_NAME})?\s*\)" + _CLOSE
 SOURCE = _OPEN + rf"source\(\s*{_NAME}\s*,\s*{_NAME}\s*\)" + _CLOSE
 CONFIG = _OPEN + r"config\(([\s\S]*?)\)" + _CLOSE
-MATERIALIZED = rf"(?U)materialized\s*=\s*{_NAME}"
-TAGS = r"(?U)tags\s*=\s*\[([^\]]*)\]"
+_IS = r"\s*=\s*"
+MATERIALIZED = rf"(?U)materialized{_IS}{_NAME}"
+TAGS = rf"(?U)tags{_IS}\[([^\]]*)\]"
 _SINGLE = "'([^']+)'"
 TABLE = rf"(?iU)\b(?:from|join)\s+\{{\{{\s*(?:ref\(\s*{_SINGLE}\s*\)|source\(\s*{_SINGLE}\s*,\s*{_SINGLE}\s*\))\s*\}}\}}(?:\s+(?:as\s+)?(\w+))?"
 EXPOSED = rf"^\s*ref\(\s*{_ANY}?([^'\")]*){_ANY}?\s*\)\s*$"

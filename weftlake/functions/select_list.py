@@ -9,12 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .calls import COMMENT, TAG
+
 _SELECT = re.compile(r"\bselect\s+(?:distinct\s+)?", re.I)
-_WORD = re.compile(r"\w")
+_WORDS, _AS = r"(\w+)", r"\s+(?:as\s+)?"
 
 
 def _strip(sql: str) -> str:
-    return re.sub(r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}", "__jinja__", re.sub(r"\{#[\s\S]*?#\}", "", sql))
+    return re.sub(TAG, "__jinja__", re.sub(COMMENT, "", sql))
 
 
 def top_level_from(text: str) -> int | None:
@@ -104,9 +106,9 @@ def column_source(sql: Column, column: Column) -> Column:
 
     First of: table.column before the name, table.name, a function call before the name (derived), the name itself.
     """
-    renamed = F.concat(F.lit(r"(?iU)(\w+)\.(\w+)\s+(?:as\s+)?"), _literal(column), F.lit(r"(?:[\s,]|\z)"))
-    direct = F.concat(F.lit(r"(?iU)(\w+)\."), _literal(column), F.lit(r"\b"))
-    called = F.concat(F.lit(r"(?iU)\w+\s*\([^)]*\)\s+(?:as\s+)?"), _literal(column))
+    renamed = F.concat(F.lit(rf"(?iU){_WORDS}\.{_WORDS}{_AS}"), _literal(column), F.lit(r"(?:[\s,]|\z)"))
+    direct = F.concat(F.lit(rf"(?iU){_WORDS}\."), _literal(column), F.lit(r"\b"))
+    called = F.concat(F.lit(rf"(?iU)\w+\s*[(][^)]*[)]{_AS}"), _literal(column))
     none = F.lit(None).cast("string")
 
     def answer(alias: Column, source: Column, derived: bool) -> Column:

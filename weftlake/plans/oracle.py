@@ -64,7 +64,8 @@ OPEN, CLOSE = r"\{\{-?\s*", r"\s*-?\}\}"
 NAME = f"{SQLQ}([^''\"]+){SQLQ}"
 REF = f"{OPEN}ref\\(\\s*{NAME}(?:\\s*,\\s*{NAME})?\\s*\\){CLOSE}"
 SOURCE = f"{OPEN}source\\(\\s*{NAME}\\s*,\\s*{NAME}\\s*\\){CLOSE}"
-TABLE = r"(?i)\b(?:from|join)\s+\{\{\s*(?:ref\(\s*''([^'']+)''\s*\)|source\(\s*''([^'']+)''\s*,\s*''([^'']+)''\s*\))\s*\}\}(?:\s+(?:as\s+)?(\w+))?"
+_S = "''([^'']+)''"
+TABLE = rf"(?i)\b(?:from|join)\s+[{{]{{2}}\s*(?:ref[(]\s*{_S}\s*[)]|source[(]\s*{_S}\s*,\s*{_S}\s*[)])\s*[}}]{{2}}(?:\s+(?:as\s+)?(\w+))?"
 CALLS = f"""refs AS (SELECT unique_id, unnest(regexp_extract_all(sql, '{REF}', 1)) AS a, unnest(regexp_extract_all(sql, '{REF}', 2)) AS b FROM bare),
 srcs AS (SELECT unique_id, unnest(regexp_extract_all(sql, '{SOURCE}', 1)) AS source_name, unnest(regexp_extract_all(sql, '{SOURCE}', 2)) AS table_name FROM bare)"""
 TABLES = f"""hits AS (SELECT unique_id, unnest(regexp_extract_all(content, '{TABLE}', 0)) AS h, unnest(range(len(regexp_extract_all(content, '{TABLE}', 0)))) AS "at" FROM models),
@@ -200,7 +201,7 @@ b AS (SELECT m.unique_id, avg(n.pos) AS bc FROM edges e JOIN p n ON n.unique_id
     "freshness": f"WITH {STATUS} SELECT status, count(*) AS n FROM st GROUP BY 1",
     "run_status_merge": f"WITH {RUNS},\n{statuses('o', 'seq % 2 = 0')},\n{statuses('n', 'seq % 7 = 1')},\nf AS (SELECT * FROM n WHERE status <> 'never_run') SELECT * FROM o WHERE unique_id NOT IN (SELECT unique_id FROM f) UNION ALL SELECT * FROM f",
     "status_labels": f"""WITH {STATUS} SELECT unique_id, CASE status WHEN 'success' THEN 'ok' WHEN 'error' THEN 'x' WHEN 'skipped' THEN '-' WHEN 'outdated' THEN '!' ELSE ' ' END AS symbol,
-CASE status WHEN 'never_run' THEN 'Never Run' ELSE upper(status[1]) || status[2:] END || coalesce(' (' || strftime(completed_at, '%Y-%m-%d %H:%M:%S') || ')', '') || coalesce(': ' || message, '') AS label,
+CASE status WHEN 'never_run' THEN 'Never Run' ELSE upper(status[1]) || status[2:] END || coalesce(' (' || CAST(date_trunc('second', completed_at) AS VARCHAR) || ')', '') || coalesce(': ' || message, '') AS label,
 CASE status WHEN 'success' THEN 'green' WHEN 'error' THEN 'red' WHEN 'skipped' THEN 'gray' WHEN 'outdated' THEN 'yellow' ELSE 'default' END AS colour FROM st""",
     "search": f"WITH {NODES} SELECT unique_id FROM nodes WHERE contains(lower(label), 'order_12') OR contains(lower(unique_id), 'order_12')",
     "search_next": f"WITH {NODES} SELECT unique_id FROM nodes WHERE contains(lower(unique_id), 'order_12') ORDER BY unique_id <= 'model.order_120', unique_id LIMIT 1",

@@ -16,7 +16,7 @@ def _git(root: str | Path, *args: str) -> subprocess.CompletedProcess:
 
 
 def is_repo(root: str | Path) -> bool:
-    return _git(root, "rev-parse", "--is-inside-work-tree").stdout.strip() == "true"
+    return _git(root, *"rev-parse --is-inside-work-tree".split()).stdout.strip() == "true"
 
 
 def check_ref(root: str | Path, ref: str) -> str:
@@ -28,7 +28,7 @@ def check_ref(root: str | Path, ref: str) -> str:
 
 
 def current_ref(root: str | Path) -> str:
-    name = _git(root, "rev-parse", "--abbrev-ref", "HEAD").stdout.strip()
+    name = _git(root, *"rev-parse --abbrev-ref HEAD".split()).stdout.strip()
     return name if name and name != "HEAD" else _git(root, "rev-parse", "--short", "HEAD").stdout.strip()
 
 
@@ -41,7 +41,7 @@ def show(root: str | Path, ref: str, path: str) -> str:
 
 def listed(root: str | Path, ref: str, prefix: str = "") -> list[str]:
     """Files under a folder at a revision; none if the folder isn't there."""
-    done = _git(root, "ls-tree", "-r", "--name-only", "-z", ref, *([f"{prefix}/"] if prefix else []))
+    done = _git(root, *"ls-tree -r -z --name-only".split(), ref, *([f"{prefix}/"] if prefix else []))
     return [x for x in done.stdout.split("\0") if x] if not done.returncode else []
 
 
