@@ -1,39 +1,12 @@
-"""Running on a cluster: where to cut lineage, how many partitions, and joins that broadcast only what is small."""
+"""Running on a cluster: how many partitions, and joins that broadcast only what is small."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Bytes of a table up to which a join broadcasts it; beyond, both sides are shuffled.
-BROADCAST_BYTES = 24 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one only where none is set and Spark runs in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="weftlake-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read back: later failures don't recompute what came before."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+from ..runtime import BROADCAST_BYTES, cut, light, plan_bytes, shared_dir
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the table's size, from the files' sizes; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+__all__ = ["BROADCAST_BYTES", "cut", "documents", "join_small", "light", "parts", "plan_bytes", "shared_dir"]
 
 
 def parts(df: DataFrame, bytes_each: int = 12 << 20) -> int:
@@ -45,8 +18,7 @@ def parts(df: DataFrame, bytes_each: int = 12 << 20) -> int:
 
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join with a written table, broadcast only if its measured size allows."""
-    # rows in memory take several times their compressed size in Parquet
-    return big.join(F.broadcast(small) if 4 * plan_bytes(small) <= BROADCAST_BYTES else small, on, how)
+    return big.join(light(small), on, how)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
