@@ -378,14 +378,9 @@ def run_lookup(s, d):
     return status.lookup(W.run_results(s, d))
 
 
-def _dated(s, d):
-    """Results without a time of completion would be as of now: these are left out."""
-    return W.run_results(s, d)
-
-
 @query
 def run_status(s, d):
-    return status.statuses(_customers(s, d), _dated(s, d), W.modified(s, d))
+    return status.statuses(_customers(s, d), W.run_results(s, d), W.modified(s, d))
 
 
 @query
@@ -395,7 +390,7 @@ def freshness(s, d):
 
 @query
 def run_status_merge(s, d):
-    r = _dated(s, d)
+    r = W.run_results(s, d)
     old = status.statuses(_customers(s, d), r.where("seq % 2 = 0"), W.modified(s, d))
     return status.merge(old, status.statuses(_customers(s, d), r.where("seq % 7 = 1"), W.modified(s, d)))
 
@@ -434,8 +429,9 @@ def status_filter(s, d):
     return explore.viewed(_customers(s, d), ["model"], "errored", run_status(s, d)).select("unique_id")
 
 
+@W.once
 def _placed(s, d):
-    return cut(layout.initial(traverse.layers(*_part(s, d))))
+    return layout.initial(traverse.layers(*_part(s, d)))
 
 
 @query

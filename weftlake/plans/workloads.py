@@ -36,7 +36,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONCE: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(what: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def once(what: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Made and written once for each application and folder: loops read it again and again."""
 
     @wraps(what)
@@ -49,7 +49,7 @@ def _once(what: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-@_once
+@once
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
 
@@ -73,7 +73,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_once
+@once
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     i = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
