@@ -183,7 +183,7 @@ UNION ALL SELECT b.depth - 1, (SELECT min(w.unique_id) FROM walk w JOIN edges e
     "barycenter_pass": graph(
         LAYERS + """,
 p AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY unique_id) - 1 AS pos FROM layers),
-b AS (SELECT m.unique_id, avg(n.pos) AS bc FROM edges e JOIN p n ON n.unique_id = e.src JOIN p m ON m.unique_id = e.dst WHERE n.layer = m.layer - 1 GROUP BY 1)""",
+b AS (SELECT m.unique_id, avg(n.pos) AS bc FROM edges e JOIN p n ON n.unique_id = e.src JOIN p m ON m.unique_id = e.dst WHERE n.layer - m.layer = -1 GROUP BY 1)""",
         "SELECT unique_id, layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY bc NULLS LAST, pos) - 1 AS INTEGER) AS pos, round(bc, 6) AS barycenter FROM p LEFT JOIN b USING (unique_id)",
     ),
     "svg_coords": graph(
