@@ -237,6 +237,19 @@ def test_jaccard_recall_on_near_copies(spark):
     assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def test_copies_whose_grams_each_have_another_leader(spark):
+    import random
+
+    w = prose(random.Random(11), 40).split()
+    table = [(k, " ".join([f"a{k}", f"b{k}", *w[k : k + 4], f"c{k}", f"d{k}"]), "en", "s", 0) for k in range(5)]
+    table += [(d, " ".join(w[:8]), "en", "s", 0) for d in (10, 11)] + [(12, " ".join([*w[:7], "other"]), "en", "s", 0)]
+    table += [(20 + k, " ".join([f"e{k}", f"f{k}", *w[10 + k : 14 + k], f"g{k}"]), "en", "s", 0) for k in range(17)]
+    table += [(40, " ".join(w[30:36]), "en", "s", 0), (41, " ".join(w[10:36]), "en", "s", 0), (42, " ".join(w[10:30]), "en", "s", 0)]
+    got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard.jaccard_pairs(spark.createDataFrame(table, SCHEMA).repartition(3)).collect()}
+    assert got == {k: round(v, 9) for k, v in brute_pairs(table).items()} and {(10, 11), (10, 12), (41, 42)} <= set(got)
+    assert not {11, 12} & {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(table, SCHEMA)).collect()}
+
+
 def test_divide_skip_finds_what_merging_finds():
     r = np.random.default_rng(4)
     sets = [np.unique(r.choice(80, r.integers(1, 40)).astype(np.uint64)) for _ in range(40)]

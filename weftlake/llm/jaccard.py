@@ -8,7 +8,8 @@ Documents first meet over a sample of their n-grams. A gram has a level, the zer
 takes part with the grams of its own level (the more grams, the higher), some 64 to 128 of them, all if it has fewer; so
 two documents of like size sample the same grams. Over the sample's inverted lists each document learns which of its grams
 are shared and who is first in the lists: its leaders. Documents with too few shared grams for T are finished. The others
-go, with all their grams, to the blocks of their leaders, and there the search is made and counts are exact.
+go, with all their grams, to the blocks of as many leaders, the largest first, as any near document must share one of, and
+there the search is made and counts are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -181,9 +182,12 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
     met = _spread(texts.mapInArrow(step1, _schema(3)), p).mapInArrow(step2, "doc_id bigint, leader bigint, shared int, need int")
     led = met.groupBy("doc_id", "leader").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-    # a leader met in one list alone is chance, unless one shared gram is enough
-    leads = F.sort_array(F.collect_list(F.when(F.col("shared") >= F.least(F.col("need"), F.lit(2)), F.col("leader")))).alias("leaders")
-    live = cut(led.groupBy("doc_id").agg(leads, F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need and size(leaders) > 0").select("doc_id", "leaders"))
+    # Documents at the threshold share at least need of their grams. In one order of all grams, here the leaders' from the largest
+    # on, they share one of each one's first shared - need + 1 (the leaders of rare grams are large); the rest may be chance.
+    own = Window.partitionBy("doc_id")
+    before = F.coalesce(F.sum("shared").over(own.orderBy(F.desc("leader")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = led.select("doc_id", "leader", before.alias("before"), F.sum("shared").over(own).alias("total"), F.min("need").over(own).alias("need")).where("before <= total - need")
+    live = cut(kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("leader")).alias("leaders")))
 
     def step3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,8 +218,9 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
             classes.setdefault(best[d][0], []).append(d)
         out: list[tuple[int, int, int, float]] = []
         for g, members in classes.items():
-            if best[members[0]][1].min() == block:  # equal sets have equal leaders: their first block pairs them
-                out += [(members[0], d, len(g) // 8, 1.0) for d in members[1:]]
+            least = best[members[0]][1]
+            # a pair that meets in several blocks belongs to the first
+            out += [(members[0], d, len(g) // 8, 1.0) for d in members[1:] if np.intersect1d(least, best[d][1], assume_unique=True)[0] == block]
         first = [members[0] for members in classes.values()]
         if len(first) > 1:
             lists = Lists([np.frombuffer(g, np.uint64) for g in classes])
@@ -223,7 +228,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
                 for d, overlap in zip(*(x.tolist() for x in lists.near(q, threshold))):
                     a, b = first[q], first[d]
                     common = np.intersect1d(best[a][1], best[b][1], assume_unique=True)
-                    if common[0] == block:  # a pair that meets in several blocks belongs to the first
+                    if common[0] == block:
                         out.append((min(a, b), max(a, b), overlap, overlap / int(lists.size[q] + lists.size[d] - overlap)))
         columns = list(zip(*out)) if out else [[], [], [], []]
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["doc_a", "doc_b", "overlap", "jaccard"])
