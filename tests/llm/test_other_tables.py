@@ -103,6 +103,19 @@ def test_slots_of_a_template(spark):
     assert rows(pages.page_slots(extra(df.where("page_id < 10")))) == rows(pages.page_slots(df.where("page_id < 10")))
 
 
+def test_odd_pages_dont_break_a_template(spark):
+    r = random.Random(8)
+    table = []
+    for i in range(500):
+        title, links, text = page(r, r.randint(2, 5))
+        table.append((i, "http://site.example.com/", f"<html><head><title>{title}</title></head><body><nav>Menu of all<ul>{links}</ul></nav><article><h1>{title}</h1>{text}</article><footer>&copy; the site</footer></body></html>"))
+    schema = "page_id bigint, url string, html string"
+    slots = lambda t: {(x.page_id, x.slot): x.text for x in pages.page_slots(spark.createDataFrame(t, schema).repartition(3)).collect() if x.page_id != 77}
+    want = slots(table[:77] + table[78:])
+    for odd in ("<html><head><title>Error</title></head><body>Not found</body></html>", "<html><body><footer>&copy; the site</footer><article><h1>a b</h1></article><nav>Menu of all</nav></body></html>", table[77][2][:200]):
+        assert slots(table[:77] + [(77, "http://site.example.com/", odd)] + table[78:]) == want
+
+
 def test_classes_against_brute_force():
     r = random.Random(3)
     texts = ["<div>" + "".join(f"<i>{prose(r, 1)}</i>" for _ in range(r.randint(0, 3))) + "</div>" for _ in range(12)]

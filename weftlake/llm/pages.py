@@ -1,10 +1,11 @@
 """HTML extraction by equivalence classes of tokens.
 
 The pages of a host are instances of a template. A token (a tag or a word, told apart by the path of tags it stands in) has
-an occurrence vector: how often it is on each page. Tokens with equal vectors form a class; the class of those that are once
-on every page is the template's frame, the others repeat inside it. A class is valid if its tokens follow each other in one
-order on every page and all its occurrences lie in one gap of the frame; valid classes are nested into the template. What
-stands in its gaps and is not template is extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts
+an occurrence vector: how often it is on each page. Tokens with equal vectors form a class; the classes of those that are once
+on every page, but for a few odd ones, are the template's frame, the others repeat inside it. A class is valid if its tokens
+follow each other in one order on every page and all its occurrences lie in one gap of the frame, again but for a few odd
+pages; valid classes are nested into the template, but not in each other. What stands in the frame's gaps and is not template
+is extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts
 times a random number of the page, which partial sums add up to.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ TEMPLATED, WORDED = 2, 8
 #: Pages of a host that are looked at together; share of them that a token must be on there; share that a class must be on
 #: of the whole host; tokens of a class that isn't the frame.
 GROUP, SHARE, SUPPORT, LEAST = 2000, 0.25, 0.5, 2
+#: Share of pages on which a class or a token of the frame may fail: error pages, truncated ones.
+ODD = 0.05
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?", re.S | re.I)
 _CLASS = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)", re.I)
 _VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -145,6 +149,11 @@ def page_random(ids: np.ndarray) -> np.ndarray:
 
 def vectors(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
     """Token, pages, occurrences, occurrence-vector sum and sum of first places, of tokens on a share of the pages."""
+    return counts(pages, page_ids, share)[:5]
+
+
+def counts(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
+    """What vectors() gives, and on how many pages the token is once."""
     reader = Reader()
     parts: list[tuple[np.ndarray, ...]] = []
     for i, p in enumerate(pages):
@@ -157,7 +166,7 @@ def vectors(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.nd
     n = np.diff(np.r_[head, len(t)])
     add = lambda x: np.add.reduceat(x, head) if len(t) else x
     ok = n >= share * len(pages)
-    return t[head][ok], n[ok], add(c)[ok], add(c.astype(np.uint64) * r)[ok].view(np.int64), add(place)[ok]
+    return t[head][ok], n[ok], add(c)[ok], add(c.astype(np.uint64) * r)[ok].view(np.int64), add(place)[ok], add((c == 1).astype(np.int64))[ok]
 
 
 class Template:
@@ -245,42 +254,74 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         t = t.sort_by([("page_id", "ascending"), ("html", "ascending")])
-        found = vectors(t["html"].to_pylist(), t["page_id"].to_numpy(), SHARE)
-        return pa.table([pa.array([t["host"][0].as_py()] * len(found[0]), pa.string()), *(pa.array(x.astype(np.int64)) for x in found)], names=["host", "token", "pages", "occ", "fp", "place"])
+        found = counts(t["html"].to_pylist(), t["page_id"].to_numpy(), SHARE)
+        return pa.table([pa.array([t["host"][0].as_py()] * len(found[0]), pa.string()), *(pa.array(x.astype(np.int64)) for x in found)], names=["host", "token", "pages", "occ", "fp", "place", "once"])
 
-    counted = grouped.repartition(n, "host", "g").groupBy("host", "g").applyInArrow(count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint")
+    counted = grouped.repartition(n, "host", "g").groupBy("host", "g").applyInArrow(count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
     # sums wrap around: two halves are added apart and put together
     low, high = F.sum(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("fp", 32))
-    total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"))
+    total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once"))
     fp = F.struct(F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
     supported = total.join(F.broadcast(sizes) if 4 * plan_bytes(sizes) <= BROADCAST_BYTES else sizes, "host").where((F.col("pages") >= SUPPORT * F.col("n")) & (F.col("n") >= TEMPLATED) & ((F.col("n") >= WORDED) | (F.col("token") % 2 == 0)))
-    is_frame = (F.col("pages") == F.col("n")) & (F.col("occ") == F.col("n"))
+    whole = F.col("once") == F.col("n")
+    is_frame = F.col("once") >= F.col("n") - F.floor(ODD * F.col("n"))
     # tokens of a class are on the same pages, so their mean first places are in the order that they have on the pages
     by_place = F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token)
-    classes = supported.groupBy("host", fp.alias("fp"), is_frame.alias("frame")).agg(by_place.alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
-    ordered = cut(classes.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frame"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
+    classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens")).where(F.col("whole") | (F.size("tokens") >= LEAST))
+    frames = F.sort_array(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frames")
+    found = cut(classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
+
+    def order(source) -> Iterator[pa.RecordBatch]:
+        """The orders in which the frame's tokens stand on the pages that have most of them."""
+        reader, known = Reader(), {}
+        for b, rows in source:
+            acc: dict[tuple[str, bytes], int] = {}
+            most: dict[str, int] = {}
+            for page, row in zip(b.column(2).to_pylist(), rows):
+                if row is None or row.plain:
+                    continue
+                if row.host not in known:
+                    if len(known) > 5000:
+                        known.clear()
+                    known[row.host] = frozenset(t for c in row.frames for t in c)
+                here = [t for t in reader.numbers(page) if t in known[row.host]]
+                times = Counter(here)
+                here = [t for t in here if times[t] == 1]
+                if len(here) >= most.get(row.host, 1):
+                    most[row.host] = len(here)
+                    key = row.host, np.array(here, np.int64).tobytes()
+                    acc[key] = acc.get(key, 0) + 1
+            keys = [k for k in acc if len(k[1]) == 8 * most[k[0]]]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([acc[k] for k in keys], pa.int64()), pa.array([np.frombuffer(k[1], np.int64).tolist() for k in keys], pa.list_(pa.int64()))], ["host", "times", "seq"])
+
+    ordered = found.select("host", "n", F.flatten("frames").alias("frame"), "nested")
+    if not found.where("not plain").isEmpty():
+        seen = _by_host(h, found.select("host", "plain", "frames"), order, "host string, times bigint, seq array<bigint>").groupBy("host", "seq").agg(F.sum("times").alias("times"))
+        best = seen.groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
+        # a class that isn't on the page with most of the frame is one of the others
+        apart = F.filter("frames", lambda c: ~F.array_contains("seq", c[0]))
+        odd = F.col("seq").isNotNull()
+        ordered = found.join(best, "host", "left").select("host", "n", F.when(odd, F.col("seq")).otherwise(F.flatten("frames")).alias("frame"), F.when(odd, F.concat(apart, "nested")).otherwise(F.col("nested")).alias("nested"))
+    ordered = cut(ordered)
 
     def check(source) -> Iterator[pa.RecordBatch]:
-        """Pages on which a frame token or a class is out of order, and the gaps that a class is in."""
+        """Pages on which a frame token is out of order; those on which a class is in each gap, at -1 if out of order or in several."""
         reader, known = Reader(), {}
         for b, rows in source:
-            acc: dict[tuple[str, int, int], list[int]] = {}
+            acc: Counter[tuple[str, int, int]] = Counter()
             for page, row in zip(b.column(2).to_pylist(), rows):
                 if row is None:
                     continue
                 _, seen, late = _template(known, row).walk(reader, page)
-                for x in late:
-                    acc.setdefault((row.host, -1, x), [0, 0, 0])[0] += 1
-                for c, (good, lo, hi) in seen.items():
-                    a = acc.setdefault((row.host, c, 0), [0, lo, hi])
-                    a[0] += not good
-                    a[1], a[2] = min(a[1], lo), max(a[2], hi)
-            keys, values = list(acc), list(acc.values())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), *(pa.array([v[i] for v in values], pa.int64()) for i in (0, 1, 2))], ["host", "c", "token", "bad", "lo", "hi"])
-
-    checked = cut(_by_host(h, ordered, check, "host string, c bigint, token bigint, bad bigint, lo bigint, hi bigint").groupBy("host", "c", "token").agg(F.sum("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    late = checked.where("c = -1 and bad > 0").groupBy("host").agg(F.collect_list("token").alias("late"))
-    valid = checked.where("c >= 0 and bad = 0 and lo = hi").groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
+                acc.update((row.host, -1, x) for x in set(late))
+                acc.update((row.host, c, lo if good and lo == hi else -1) for c, (good, lo, hi) in seen.items())
+            keys = list(acc)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array([acc[k] for k in keys], pa.int64())], ["host", "c", "at", "pages"])
+
+    checked = cut(_by_host(h, ordered, check, "host string, c bigint, at bigint, pages bigint").groupBy("host", "c", "at").agg(F.sum("pages").alias("pages")))
+    late = checked.where("c = -1").join(ordered.select("host", "n"), "host").where(F.col("pages") > F.floor(ODD * F.col("n"))).groupBy("host").agg(F.collect_list("at").alias("late"))
+    per = checked.where("c >= 0").groupBy("host", "c").agg(F.sum("pages").alias("pages"), F.max(F.when(F.col("at") >= 0, F.col("pages"))).alias("most"))
+    valid = per.where(F.col("most") >= F.col("pages") - F.floor(ODD * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
     frame = F.when(F.col("late").isNull(), F.col("frame")).otherwise(F.array_except("frame", "late"))
     nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: F.get("nested", c))
     return cut(ordered.join(late, "host", "left").join(valid, "host", "left").select("host", frame.alias("frame"), nested.alias("nested")))
