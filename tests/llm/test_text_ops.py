@@ -214,27 +214,66 @@ def brute_pairs(docs_rows, n=jaccard.N, threshold=jaccard.THRESHOLD):
     return out
 
 
-def test_jaccard_pairs_against_brute_force(spark, docs, docs_rows, no_docs):
-    got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard.jaccard_pairs(docs).collect()}
-    assert got == {k: round(v, 9) for k, v in brute_pairs(docs_rows).items()} and {(0, 30), (0, 31), (0, 32)} <= set(got)
-    assert jaccard.jaccard_pairs(no_docs).count() == 0
-    assert rows(jaccard.jaccard_pairs(extra(docs))) == rows(jaccard.jaccard_pairs(docs))
-
-
-def test_jaccard_recall_on_near_copies(spark):
+def brute_classes(docs_rows):
+    """What jaccard_classes gives, from all pairs of brute_pairs()."""
+    pairs = brute_pairs(docs_rows)
+    text = {b: a for (a, b), j in pairs.items() if j == 1.0}
+    links = defaultdict(set)
+    for (a, b), j in pairs.items():
+        if j < 1.0:
+            links[a].add(b)
+            links[b].add(a)
+    group: dict[int, int] = {}
+    for start in sorted(links):
+        todo = [start] if start not in group else []
+        for x in todo:
+            if x not in group:
+                group[x] = start
+                todo += links[x]
+    copies = Counter(text.values())
+    return sorted((d, group.get(t, t), t, len(links[t]), copies[t]) for d in {*links, *text, *text.values()} for t in [text.get(d, d)] if links[t] or copies[t])
+
+
+def classes(df):
+    return sorted(tuple(r) for r in jaccard.jaccard_classes(df).collect())
+
+
+def test_jaccard_classes_against_brute_force(spark, docs, docs_rows, no_docs):
+    got = classes(docs)
+    assert got == brute_classes(docs_rows) and {0, 30, 31, 32} <= {r[0] for r in got}
+    assert jaccard.jaccard_classes(no_docs).count() == 0
+    assert classes(extra(docs)) == got
+
+
+@pytest.fixture
+def near_copies(spark):
     import random
 
     r = random.Random(9)
     table, n = [], 0
-    for _ in range(25):
+    for k in range(25):
         base = prose(r, r.choice([20, 60, 150, 500, 1500])).split()
-        for _ in range(4):
-            w = [prose(r, 1) if r.random() < r.choice([0.0, 0.05, 0.1, 0.15]) else x for x in base]
+        for _ in range(30 if k == 3 else 4):
+            w = [prose(r, 1) if r.random() < r.choice([0.0, 0.0, 0.05, 0.1, 0.15]) else x for x in base]
             table.append((n, " ".join(w), "en", "s", 0))
             n += 1
-    want = brute_pairs(table)
-    got = {(x.doc_a, x.doc_b) for x in jaccard.jaccard_pairs(spark.createDataFrame(table, SCHEMA)).collect()}
-    assert got <= set(want) and len(got) >= 0.95 * len(want)
+    return table, spark.createDataFrame(table, SCHEMA).repartition(5)
+
+
+def test_jaccard_loses_no_link(near_copies):
+    table, df = near_copies
+    assert classes(df) == brute_classes(table)
+
+
+def test_jaccard_with_split_blocks_shuffled_texts_and_groups_on_executors(near_copies, monkeypatch):
+    from weftlake import runtime
+
+    table, df = near_copies
+    monkeypatch.setattr(jaccard, "PART", 500)
+    monkeypatch.setattr(jaccard, "FLUSH", 2000)
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    assert classes(df) == brute_classes(table)
 
 
 def test_copies_whose_grams_each_have_another_leader(spark):
@@ -245,11 +284,24 @@ def test_copies_whose_grams_each_have_another_leader(spark):
     table += [(d, " ".join(w[:8]), "en", "s", 0) for d in (10, 11)] + [(12, " ".join([*w[:7], "other"]), "en", "s", 0)]
     table += [(20 + k, " ".join([f"e{k}", f"f{k}", *w[10 + k : 14 + k], f"g{k}"]), "en", "s", 0) for k in range(17)]
     table += [(40, " ".join(w[30:36]), "en", "s", 0), (41, " ".join(w[10:36]), "en", "s", 0), (42, " ".join(w[10:30]), "en", "s", 0)]
-    got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard.jaccard_pairs(spark.createDataFrame(table, SCHEMA).repartition(3)).collect()}
-    assert got == {k: round(v, 9) for k, v in brute_pairs(table).items()} and {(10, 11), (10, 12), (41, 42)} <= set(got)
+    got = classes(spark.createDataFrame(table, SCHEMA).repartition(3))
+    assert got == brute_classes(table) and {10, 11, 12, 41, 42} <= {r[0] for r in got}
     assert not {11, 12} & {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(table, SCHEMA)).collect()}
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    import random
+
+    r = random.Random(12)
+    t = [prose(r, 50) for _ in range(6)]
+    table = [(1, t[0], "en", "a", 1), (1, t[1], "en", "a", 1), (2, t[1], "en", "a", 1), (3, t[2], "en", "a", 1), (3, t[2], "en", "a", 1), (None, t[2], "en", "a", 1), (None, t[3], "en", "a", 1), (None, t[3], "en", "b", 1), (None, "", "en", "b", 1), (4, None, "en", "b", 1)]
+    df = spark.createDataFrame(table, SCHEMA).repartition(3)
+    kept = Counter(x.text for x in jaccard.keep_one(df).collect())
+    assert kept == Counter([t[0], t[1], t[2], t[3], "", None])
+    assert {x.doc_id for x in jaccard.keep_one(df).where(f"text = '{t[1]}'").collect()} == {2}
+    assert {x[:3] for x in classes(df)} == {(1, 1, 1), (2, 1, 1)}
+
+
 def test_divide_skip_finds_what_merging_finds():
     r = np.random.default_rng(4)
     sets = [np.unique(r.choice(80, r.integers(1, 40)).astype(np.uint64)) for _ in range(40)]
@@ -263,10 +315,13 @@ def test_divide_skip_finds_what_merging_finds():
     assert jaccard.heap_merge([], 1) == []
 
 
-def test_one_document_of_each_group_stays(spark, docs, docs_rows, no_docs):
+def test_one_document_of_each_group_stays(spark, docs, docs_rows, no_docs, monkeypatch):
     kept = Counter(r.doc_id for r in jaccard.keep_one(docs).collect())
-    want = Counter(r[0] for r in docs_rows if r[0] not in (30, 31, 32))
+    want = Counter(r[0] for r in docs_rows if r[0] not in (30, 31, 32, 40, None))  # 39 and 40 are near the row without an id
+    want[docs_rows[5][0]] = 1  # equal rows are one
     assert kept == want and jaccard.keep_one(no_docs).count() == 0
     assert jaccard.keep_one(extra(docs)).columns == extra(docs).columns
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 30), (30, 35)], "doc_a bigint, doc_b bigint")
-    assert {r.doc_id: r.keep for r in jaccard.components(chain).collect()} == {**{i: 0 for i in range(1, 21)}, 40: 30, 35: 30}
+    for few in (jaccard.FEW, 0):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert {r.doc_id: r.keep for r in jaccard.components(chain).collect()} == {**{i: 0 for i in range(1, 21)}, 40: 30, 35: 30}

@@ -2,9 +2,13 @@
 
 Vectors go to the shards of their nearest centroids, so shards overlap. Each shard links its vectors to near ones, pruned so
 that no link is kept that a shorter one makes needless; a vector's lists from all its shards are united. Every vector is a
-query: a greedy search from its shards' medoids (and its own list) with a beam, then, where the beam reached the range,
-outwards over everything in range. A sample of queries is audited against brute force; if recall is too low, the shards
-overlap more. Similarities are computed exactly for every pair that is given.
+query in its shards and, as a visitor, in the next nearest one: over the part of the united graph that is there, a greedy
+search from the medoid and its own list with a beam, then, where the beam reached the range, outwards over everything in
+range. The links found for some vectors are held against brute force over all vectors, at every size; if recall is too
+low, shards overlap more and beams widen. Similarities are exact for every link.
+
+Equal vectors never meet in one task: they are found by hashes, and one stands for them. A shard with many vectors is split,
+and each pair of parts is searched by a task of its own. A shard gives counts of links and a forest, not its pairs.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from . import text as T
+from .cluster import cut, join_small
+from .jaccard import Forest, components
 
 THRESHOLD = 0.95
-#: Vectors a shard has on average, most centroids, links of a vector in one shard, candidates they are pruned from, beam.
-SHARD, CENTROIDS, LINKS, CANDIDATES, BEAM = 2000, 4096, 32, 64, 24
-ALPHA, OVERLAP, ROUNDS = 1.2, 2, 3
+#: Vectors that a shard has on average, most of a part of one; most centroids; links of a vector in one shard, candidates they are pruned from; beam.
+SHARD, PART, CENTROIDS, LINKS, CANDIDATES, BEAM = 2000, 6000, 4096, 32, 64, 12
+#: Shards that a vector is a member of, and those that it visits besides; rounds of k-means.
+ALPHA, OVERLAP, VISITS, ROUNDS = 1.2, 2, 1, 3
 #: How far below the threshold the range search still goes outwards.
 WIDER = 0.05
+#: Vectors that are audited of all, and of those with links; share of their links that must have been found.
 AUDITED, RECALL = 256, 0.9
-PAIRS = "vec_a bigint, vec_b bigint, similarity double"
+FOUND = "vec_id bigint, other bigint, links bigint"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -83,7 +91,8 @@ def robust_prune(x: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES
         at = np.argpartition(-near, c - 1, axis=1)[:, :c]
         at = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, 1), axis=1, kind="stable"), 1)
         far = 1 - np.take_along_axis(near, at, 1)
-        between = 1 - np.einsum("bcd,bed->bce", x[at], x[at])
+        own = x[at]
+        between = 1 - own @ own.transpose(0, 2, 1)
         alive, count = np.ones(at.shape, bool), np.zeros(len(at), int)
         for j in range(c):
             keep = alive[:, j] & (count < links)
@@ -102,84 +111,152 @@ def both_ways(links: np.ndarray) -> list[np.ndarray]:
     return [np.union1d(row[row >= 0], r[order[a:b]][: 2 * LINKS]) for row, a, b in zip(links, begin, begin[1:])]
 
 
-def range_search(x: np.ndarray, links: np.ndarray, medoid: int, threshold: float, beam: int = BEAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row, other rows that reach the threshold, and their similarities."""
-    n = len(x)
-    beam = min(beam, n)
-    for i in range(0, n, 256):
-        q = np.arange(i, min(n, i + 256))
+class Graph:
+    """The part of the united graph that is in one shard: rows' neighbours, -1 where there are fewer."""
+
+    def __init__(self, ids: np.ndarray, lists: list[np.ndarray]):
+        order = np.argsort(ids)
+        of = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
+        to = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        at = order[np.minimum(np.searchsorted(ids[order], to), len(ids) - 1)]
+        here = (ids[at] == to) & (at != of)
+        of, at = of[here], at[here]
+        n = np.bincount(of, minlength=len(ids))
+        self.links = np.full((len(ids), max(1, int(n.max(initial=0)))), -1, np.int32)
+        self.links[of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)] = at
+
+
+def range_search(x: np.ndarray, links: np.ndarray, medoid: int, threshold: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, other row) that reach the threshold, as every row's search finds them."""
+    n, width = len(x), links.shape[1]
+    small = x.astype(np.float32)
+    for i in range(0, n, 512):
+        q = np.arange(i, min(n, i + 512))
         rows = np.arange(len(q))
-        seen = np.full((len(q), n), -2.0, np.float32)
-
-        def visit(r: np.ndarray, nodes: np.ndarray) -> None:
-            ok = nodes >= 0
-            ok[ok] = seen[r[ok], nodes[ok]] < -1.5
-            r, nodes = r[ok], nodes[ok]
-            for a in range(0, len(r), 1 << 16):
-                seen[r[a : a + (1 << 16)], nodes[a : a + (1 << 16)]] = np.einsum("ij,ij->i", x[q[r[a : a + (1 << 16)]]], x[nodes[a : a + (1 << 16)]])
-
-        visit(rows, np.full(len(q), medoid))
-        visit(np.repeat(rows, links.shape[1]), links[q].ravel())
-        opened = np.zeros((len(q), n), bool)
-        opened[rows, q] = True
-        seen[rows, q] = -1.5
+        seen, opened = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
+        seen[rows, q] = opened[rows, q] = True
+        beam_id, beam_sim = np.zeros((len(q), beam), np.int32), np.full((len(q), beam), -3, np.float32)
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def visit(r: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Similarities of pairs of a query and a node that are new; those in range are noted."""
+            seen[r, nodes] = True
+            sims = np.concatenate([np.einsum("ij,ij->i", small[q[r[a : a + 65536]]], small[nodes[a : a + 65536]]) for a in range(0, len(r), 65536)]) if len(r) else np.zeros(0, np.float32)
+            ok = sims >= threshold - WIDER
+            near.append((r[ok], nodes[ok], sims[ok]))
+            return r, nodes, sims
+
+        def into_beam(live: np.ndarray, nodes: np.ndarray) -> None:
+            new = nodes >= 0
+            new[new] = ~seen[np.repeat(live, new.sum(1)), nodes[new]]
+            a, c = np.nonzero(new)
+            sims = np.full(nodes.shape, -3, np.float32)
+            sims[a, c] = visit(live[a], nodes[a, c])[2]
+            ids, sims = np.concatenate([beam_id[live], nodes], 1), np.concatenate([beam_sim[live], sims], 1)
+            top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            beam_id[live], beam_sim[live] = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+
+        into_beam(rows, np.full((len(q), 1), medoid, np.int32))
+        into_beam(rows, links[q])
         live = rows
         while len(live):  # the greedy search: open the best node of each beam that is still closed
-            top = np.argpartition(-seen[live], beam - 1, axis=1)[:, :beam]
-            value = np.take_along_axis(seen[live], top, 1)
-            value[np.take_along_axis(opened[live], top, 1) | (value < -1.4)] = -3
+            value = np.where((beam_sim[live] < -2) | opened[live[:, None], beam_id[live]], -3, beam_sim[live])
             best = value.argmax(1)
             go = value[np.arange(len(live)), best] > -2
-            node = top[np.arange(len(live)), best][go]
-            live = live[go]
+            node, live = beam_id[live, best][go], live[go]
             opened[live, node] = True
-            visit(np.repeat(live, links.shape[1]), links[node].ravel())
-        while True:  # then outwards over the range
-            r, node = np.nonzero((seen >= threshold - WIDER) & ~opened)
-            if not len(r):
-                break
+            if len(live):
+                into_beam(live, links[node])
+        done = 0
+        while done < len(near):  # then outwards over the range
+            r, node, _ = (np.concatenate(c) for c in zip(*near[done:]))
+            done = len(near)
+            closed = ~opened[r, node]
+            r, node = r[closed], node[closed]
             opened[r, node] = True
-            for a in range(0, len(r), 4096):
-                visit(np.repeat(r[a : a + 4096], links.shape[1]), links[node[a : a + 4096]].ravel())
-        for r in rows:
-            found = np.flatnonzero(seen[r] >= threshold - 1e-3)
-            found = found[found != q[r]]
-            if len(found):
-                exact = x[found] @ x[q[r]]
-                yield int(q[r]), found[exact >= threshold], exact[exact >= threshold]
-
+            for a in range(0, len(r), 1 << 14):
+                to = links[node[a : a + (1 << 14)]].ravel()
+                of = np.repeat(r[a : a + (1 << 14)], width)
+                new = to >= 0
+                new[new] = ~seen[of[new], to[new]]
+                key = np.unique(of[new].astype(np.int64) * n + to[new])
+                if len(key):
+                    visit(key // n, key % n)
+        r, node, sims = (np.concatenate(c) for c in zip(*near))
+        ok = sims >= threshold - 1e-3
+        r, node = q[r[ok]], node[ok].astype(np.int64)
+        for a in range(0, len(r), 65536):
+            exact = np.einsum("ij,ij->i", x[r[a : a + 65536]], x[node[a : a + 65536]]) >= threshold
+            yield r[a : a + 65536][exact], node[a : a + 65536][exact]
+
+
+def near_classes(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
+    """A row for each vector: two are linked if their cosine similarity is at least the threshold.
+
+    class_id is the least vec_id of the connected group, same_as the least one of an equal vector, n_copies the number of
+    other equal vectors, n_links the number of linked vectors that differ, of which each same_as counts once. Copies have the
+    links of their same_as. A vector without links has its own class.
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
-    """Pairs (vec_a < vec_b) of vectors with a cosine similarity of at least the threshold, to 4 places.
-
-    Equal vectors are paired with the least vec_id of them only (similarity 1), which stands for them in the other pairs.
     Left out: null ids, null, empty and all-zero vectors, those with a null, infinite or NaN element or not of the commonest
-    length. Of rows that repeat an id the least vector counts. Other columns are ignored.
+    length (of equally common ones the longest). Of rows that repeat an id the least vector counts. An empty table gives no
+    row. Other columns are ignored. Links are a subset of the true ones, of which the audit has found RECALL or more.
     """
     v = usable(vectors)
-    classes = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    copies = classes.select("vec_id", F.explode("members").alias("m")).where("m > vec_id").select(F.col("vec_id").alias("vec_a"), F.col("m").alias("vec_b"), F.lit(1.0).alias("similarity"))
-    distinct = classes.select("vec_id", "embedding")
+    keys = ["h1", "h2"]
+    hashed = v.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    least = cut(hashed.groupBy(*keys).agg(F.min(F.struct("vec_id", "embedding")).alias("m"), F.count("vec_id").alias("n")).select(*keys, "m.*", "n"))
+    distinct = least.select("vec_id", "embedding")
     n = distinct.count()
     k = max(1, min(CENTROIDS, -(-n // SHARD)))
     centre = centroids(distinct, k) if n else np.zeros((0, 1))
-    while n:
-        pairs = cut(_search(distinct, centre, threshold, min(k, overlap)))
-        if overlap >= k or audit(distinct, pairs, threshold) >= RECALL:
-            return pairs.unionByName(copies)
-        overlap *= 2
-    return copies
-
-
-def _search(vectors: DataFrame, centre: np.ndarray, threshold: float, overlap: int) -> DataFrame:
+    while True:
+        found = cut(_search(distinct, centre, threshold, min(k, overlap), beam)) if n else vectors.sparkSession.createDataFrame([], FOUND)
+        counted = cut(found.where("other is null").groupBy("vec_id").agg(F.sum("links").alias("n_links")))
+        if not n or beam >= PART or audit(distinct, counted, threshold) >= RECALL:
+            break
+        overlap, beam = 2 * overlap, 2 * beam
+    group = components(found.where("other is not null").select(F.col("vec_id").alias("doc_a"), F.col("other").alias("doc_b"))).select(F.col("doc_id").alias("vec_id"), F.col("keep").alias("class_id"))
+    per = least.select(*keys, F.col("vec_id"), (F.col("n") - 1).alias("n_copies")).join(counted, "vec_id", "left").join(group, "vec_id", "left")
+    per = per.select(*keys, F.coalesce("class_id", "vec_id").alias("class_id"), F.col("vec_id").alias("same_as"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return hashed.select("vec_id", *keys).join(per, keys).drop(*keys)
+
+
+def _search(vectors: DataFrame, centre: np.ndarray, threshold: float, overlap: int, beam: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(centre)
+    reach = min(len(centre), overlap + VISITS)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = matrix(b.column(1)) @ shared.value.T
-            mine = np.sort(np.argpartition(-near, overlap - 1, axis=1)[:, :overlap], 1)
-            at = pa.array(np.repeat(np.arange(len(mine)), overlap))
-            yield pa.RecordBatch.from_arrays([pa.array(mine.ravel()), b.column(0).take(at), b.column(1).take(at), pa.array(list(mine), pa.list_(pa.int64())).take(at)], ["shard", "vec_id", "embedding", "shards"])
+            mine = np.argpartition(-near, reach - 1, axis=1)[:, :reach]
+            mine = np.take_along_axis(mine, np.argsort(-np.take_along_axis(near, mine, 1), 1, kind="stable"), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(mine), pa.list_(pa.int64()))], ["vec_id", "embedding", "shards"])
+
+    assigned = cut(vectors.mapInArrow(assign, "vec_id bigint, embedding array<float>, shards array<bigint>"))
+    sizes = assigned.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("shard") / PART).cast("int").alias("split")).where("split > 1")
+    split = np.ones(len(centre), np.int64)  # there are CENTROIDS at most
+    for r in sizes.collect():
+        split[r.shard] = r.split
+
+    def place(count: int, extra: int):
+        """A row for each task in which a vector takes part: shard and pair of parts, and the vector's part."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                shards = b.column(2).flatten().to_numpy().reshape(len(ids), -1)[:, :count]
+                row = np.repeat(np.arange(len(ids)), shards.shape[1])
+                shard = shards.ravel()
+                times = split[shard]
+                part = (T.mix(ids.view(np.uint64))[row] % times.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(row)), times)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                row, shard, part = row[at], shard[at], part[at]
+                take = pa.array(row)
+                more = [b.column(c + 2).take(take) for c in range(extra)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.minimum(part, other)), pa.array(np.maximum(part, other)), pa.array(part), b.column(0).take(take), b.column(1).take(take), *more], ["shard", "i", "j", "part", "vec_id", "embedding", *["shards", "links"][:extra]])
+
+        return run
 
     def build(t: pa.Table) -> pa.Table:
         ids = t["vec_id"].to_numpy()
@@ -187,59 +264,79 @@ def _search(vectors: DataFrame, centre: np.ndarray, threshold: float, overlap: i
         return pa.table([t["vec_id"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))], names=["vec_id", "links"])
 
     def search(t: pa.Table) -> pa.Table:
-        shard = t["shard"][0].as_py()
+        shard, cross = t["shard"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
         t = t.sort_by("vec_id")
-        ids, x = t["vec_id"].to_numpy(), matrix(t["embedding"])
-        lists = [np.array(v.as_py() or [], np.int64) for v in t["links"]]
-        links = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-        for i, v in enumerate(lists):
-            at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-            at = at[ids[at] == v]
-            links[i, : len(at)] = at
-        shards = [set(s.as_py()) for s in t["shards"]]
-        medoid = int((x @ x.mean(0)).argmax())
-        out: dict[tuple[int, int], float] = {}
-        for i, found, value in range_search(x, links, medoid, threshold):  # a pair that shares two shards is the first one's
-            out |= {(min(i, int(j)), max(i, int(j))): round(float(s), 4) for j, s in zip(found, value) if min(shards[i] & shards[j]) == shard}
-        columns = [ids[[a for a, _ in out]], ids[[b for _, b in out]], list(out.values())] if out else [[], [], []]
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["vec_a", "vec_b", "similarity"])
-
-    members = cut(vectors.mapInArrow(assign, "shard bigint, vec_id bigint, embedding array<float>, shards array<bigint>"))
-    graph = members.groupBy("shard").applyInArrow(build, "vec_id bigint, links array<bigint>")
+        ids, x, part = t["vec_id"].to_numpy(), matrix(t["embedding"]), t["part"].to_numpy()
+        graph = Graph(ids, [np.array(v.as_py() or [], np.int64) for v in t["links"]])
+        own = t["shards"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        near = np.zeros((len(ids), len(ids)), bool)
+        for a, b in range_search(x, graph.links, int((x @ x.mean(0)).argmax()), threshold, min(beam, len(ids))):
+            near[np.minimum(a, b), np.maximum(a, b)] = True
+        count, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        for a in np.flatnonzero(near.any(1)):
+            b = np.flatnonzero(near[a])
+            if cross:
+                b = b[part[b] != part[a]]
+            both = (own[b][:, :, None] == own[a][None, None, :]).any(2)
+            b = b[np.where(both, own[b], len(split)).min(1, initial=len(split)) == shard]  # of several shards that they share, the first
+            if len(b):
+                count[a] += len(b)
+                count[b] += 1
+                forest.join(a, b)
+        some = np.flatnonzero(count)
+        u, w = (ids[list(c)] for c in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(np.r_[ids[some], u]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(w)]), pa.concat_arrays([pa.array(count[some]), pa.nulls(len(u), pa.int64())])], names=["vec_id", "other", "links"])
+
+    placed = "shard bigint, i bigint, j bigint, part bigint, vec_id bigint, embedding array<float>"
+    where = ["shard", "i", "j"]
+    graph = assigned.mapInArrow(place(overlap, 0), placed).groupBy(*where).applyInArrow(build, "vec_id bigint, links array<bigint>")
     united = graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    return members.join(united, "vec_id").select("shard", "vec_id", "embedding", "shards", "links").groupBy("shard").applyInArrow(search, PAIRS)
+    linked = assigned.join(united, "vec_id").select("vec_id", "embedding", "shards", "links")
+    return linked.mapInArrow(place(reach, 2), placed + ", shards array<bigint>, links array<bigint>").groupBy(*where).applyInArrow(search, FOUND)
+
 
+def audit(vectors: DataFrame, counted: DataFrame, threshold: float, queries: int = AUDITED) -> float:
+    """Share of the links of some vectors that were found; brute force over all vectors.
 
-def audit(vectors: DataFrame, pairs: DataFrame, threshold: float, queries: int = AUDITED) -> float:
-    """Share of the pairs of some queries (of the lowest hashes of vec_id) that were found; brute force over all vectors."""
-    asked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).toArrow()
+    Asked are so many of all vectors and so many of those with links, of the lowest hashes of vec_id: the first catch
+    vectors of which no link was found, the second have links even where these are rare. Without any link it is 1.
+    """
+    order = (F.xxhash64("vec_id"), "vec_id")
+    some = vectors.orderBy(*order).limit(queries).select("vec_id").union(counted.orderBy(*order).limit(queries).select("vec_id")).distinct()
+    asked = vectors.join(F.broadcast(some), "vec_id", "left_semi").toArrow()
+    if not asked.num_rows:
+        return 1.0
     ids, x = asked["vec_id"].to_numpy(), matrix(asked["embedding"])
     sent = vectors.sparkSession.sparkContext.broadcast((ids, x))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, qx = sent.value
+        total = np.zeros(len(qi), np.int64)
         for b in batches:
-            own = b.column(0).to_numpy()
-            r, c = np.nonzero(matrix(b.column(1)) @ qx.T >= threshold)
-            a, z = own[r], qi[c]
-            ok = a != z
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)[ok]), pa.array(np.maximum(a, z)[ok])], ["vec_a", "vec_b"])
+            own, y = b.column(0).to_numpy(), matrix(b.column(1))
+            for a in range(0, len(y), 4096):
+                total += ((y[a : a + 4096] @ qx.T >= threshold) & (own[a : a + 4096, None] != qi)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(total)], ["vec_id", "links"])
 
-    true = vectors.select("vec_id", "embedding").mapInArrow(brute, "vec_a bigint, vec_b bigint").distinct()
-    r = true.join(pairs.select("vec_a", "vec_b", F.lit(1).alias("hit")), ["vec_a", "vec_b"], "left").agg(F.count("vec_a").alias("n"), F.count("hit").alias("hit")).first()
-    return r.hit / r.n if r.n else 1.0
+    true = vectors.select("vec_id", "embedding").mapInArrow(brute, "vec_id bigint, links bigint").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    r = true.join(join_small(counted, some, "vec_id", "left_semi"), "vec_id", "left").agg(F.sum("links").alias("n"), F.sum("n_links").alias("hit")).first()
+    return (r.hit or 0) / r.n if r.n else 1.0
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES = {"op8_embedding_near_dedup": op8_embedding_near_dedup}
 ORACLE = {
     "op8_embedding_near_dedup": f"""
-WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
+WITH RECURSIVE v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
 c AS (SELECT e, min(vec_id) AS vec_id, list(vec_id) AS m FROM v WHERE len(e) = (SELECT mode(len(e)) FROM v) GROUP BY e),
-p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS s FROM c a JOIN c b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(s, 4) AS similarity FROM p WHERE s >= {THRESHOLD}
-UNION ALL SELECT vec_id, x, 1.0::DOUBLE FROM (SELECT vec_id, unnest(m) AS x FROM c) WHERE x > vec_id""",
+p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) >= {THRESHOLD}),
+l AS (SELECT vec_a AS a, vec_b AS b FROM p UNION ALL SELECT vec_b, vec_a FROM p),
+r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+x AS (SELECT vec_id AS same_as, unnest(m) AS vec_id, len(m) - 1 AS n_copies FROM c)
+SELECT vec_id, coalesce(class_id, same_as) AS class_id, same_as, coalesce(n_links, 0) AS n_links, n_copies FROM x LEFT JOIN k ON k.a = same_as LEFT JOIN n ON n.a = same_as""",
 }
