@@ -2,17 +2,19 @@
 
 The pages of a host are instances of a template. A token (a tag or a word, told apart by the path of tags it stands in) has
 an occurrence vector: how often it is on each page. Tokens with equal vectors form a class; the classes of those that are once
-on every page, but for a few odd ones, are the template's frame, the others repeat inside it. A class is valid if its tokens
-follow each other in one order on every page and all its occurrences lie in one gap of the frame, again but for a few odd
-pages; valid classes are nested into the template, but not in each other. What stands in the frame's gaps and is not template
-is extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts
-times a random number of the page, which partial sums add up to.
+on every page, but for a few odd ones, are the template's frame, the others are parts that repeat or that some pages have. A
+word counts only if it stands next to another token of the template. A class is valid if its tokens follow each other in one
+order wherever it occurs and all its occurrences on a page lie in one gap of one class, again but for a few odd pages. So
+valid classes are nested in each other, and every gap of a class is a slot. What stands in the slots and is not template is
+extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts times a random number of the page, and
+tasks add up what they have seen of any host, so pages aren't exchanged and no host is too large.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import BROADCAST_BYTES, cut, parts, plan_bytes
-
-#: Pages that a host has at least if it has a template, and if words can be in it. Without one, all text is extracted.
-TEMPLATED, WORDED = 2, 8
-#: Pages of a host that are looked at together; share of them that a token must be on there; share that a class must be on
-#: of the whole host; tokens of a class that isn't the frame.
-GROUP, SHARE, SUPPORT, LEAST = 2000, 0.25, 0.5, 2
-#: Share of pages on which a class or a token of the frame may fail: error pages, truncated ones.
+from .cluster import BROADCAST_BYTES, cut, join_small, plan_bytes
+
+#: Different pages that a host has at least if it has a template. Without one, all text is extracted.
+TEMPLATED = 2
+#: Pages that a class must be on: this share of the host's, and so many at least if the host has as many; tokens of a class that isn't the frame.
+SUPPORT, PAGES, LEAST = 0.1, 3, 2
+#: Share of pages on which a class, a word or a token of the frame may fail: error pages, truncated ones.
 ODD = 0.05
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?", re.S | re.I)
+#: Tokens whose counts a task adds up before it gives them on.
+HELD = 300_000
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?""",
+    re.S | re.I,
+)
 _CLASS = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)", re.I)
 _VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = {"b", "i", "em", "strong", "u", "span", "small", "sup", "sub", "a", "font"}
@@ -41,7 +47,9 @@ SLOTS = "page_id bigint, host string, slot int, text string"
 
 
 class Reader:
-    """Splits pages into tokens. A token's number is a hash of its path, one of itself, and a last bit: 1 for a word."""
+    """Splits pages into tokens. A token's number is a hash of it and its path, and a last bit: 1 for a word.
+
+    A word's number begins with 19 bits of the path; 43 bits are of path and word together."""
 
     def __init__(self):
         self.paths: dict[str, int] = {}
@@ -52,7 +60,7 @@ class Reader:
     def path(self, where: str) -> int:
         v = self.paths.get(where)
         if v is None:
-            v = self.paths[where] = hash31(where)
+            v = self.paths[where] = xxhash.xxh3_64_intdigest(where) >> 45
         return v
 
     def word_ids(self, path: int, words: list[str]) -> list[int]:
@@ -83,7 +91,8 @@ class Reader:
                 if not text.isspace():
                     out.append((-1, here, html.unescape(text) if "&" in text else text))
             last = end
-            script, slash, name, rest = m.groups()
+            script, *parts = m.groups()
+            slash, name, rest = parts[:3] if parts[1] else parts[3:]
             if script:
                 key, shown = f"{where}<{script.lower()}>", f"<{script.lower()}>"
             elif not name:
@@ -112,7 +121,7 @@ class Reader:
                         here = self.path(where)
             v = self.tags.get(key)
             if v is None:
-                v = self.tags[key] = hash31(key) << 32 | hash31(key + " ") << 1
+                v = self.tags[key] = xxhash.xxh3_64_intdigest(key) >> 2 << 1
             out.append((v, here, shown))
         if last < len(page) and not page[last:].isspace():
             out.append((-1, here, html.unescape(page[last:])))
@@ -131,88 +140,130 @@ class Reader:
 
 class _Words(dict):
     def __init__(self, reader: Reader, path: int):
-        self.reader, self.base = reader, path << 32
+        self.reader, self.path = reader, path
 
     def __missing__(self, word: str) -> int:
         self.reader.known += 1
-        v = self[word] = self.base | hash31(word) << 1 | 1
+        v = self[word] = self.path << 44 | xxhash.xxh3_64_intdigest(word, self.path + 1) >> 21 << 1 | 1
         return v
 
 
-def hash31(key: str) -> int:
-    return xxhash.xxh3_64_intdigest(key) >> 33
-
-
 def page_random(ids: np.ndarray) -> np.ndarray:
     return T.mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(99)) | np.uint64(1)
 
 
-def vectors(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
-    """Token, pages, occurrences, occurrence-vector sum and sum of first places, of tokens on a share of the pages."""
-    return counts(pages, page_ids, share)[:5]
-
-
-def counts(pages: list[str], page_ids: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
-    """What vectors() gives, and on how many pages the token is once."""
+def vectors(pages: list[str], page_ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Token, pages, occurrences, occurrence-vector sum, sum of first places, and pages on which it is once, of all tokens."""
     reader = Reader()
     parts: list[tuple[np.ndarray, ...]] = []
     for i, p in enumerate(pages):
         u, place, c = np.unique(np.array(reader.numbers(p), np.int64), return_index=True, return_counts=True)
         parts.append((u, place, c, np.full(len(u), i)))
     t, place, c, o = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-    order = np.argsort(t, kind="stable")
-    t, place, c, r = t[order], place[order], c[order], page_random(page_ids)[o[order]]
-    head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[head, len(t)])
-    add = lambda x: np.add.reduceat(x, head) if len(t) else x
-    ok = n >= share * len(pages)
-    return t[head][ok], n[ok], add(c)[ok], add(c.astype(np.uint64) * r)[ok].view(np.int64), add(place)[ok], add((c == 1).astype(np.int64))[ok]
+    return _added(np.zeros(len(t), np.int64), t, np.ones(len(t), np.int64), c, (c.astype(np.uint64) * page_random(page_ids)[o]).view(np.int64), place, (c == 1).astype(np.int64))[1:]
+
+
+def _added(host: np.ndarray, token: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums for each host and token."""
+    order = np.lexsort((token, host))
+    host, token = host[order], token[order]
+    head = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (host[1:] != host[:-1])]) if len(token) else np.zeros(0, np.int64)
+    return host[head], token[head], *(np.add.reduceat(x[order], head) if len(token) else x for x in sums)
+
+
+def out_of_order(places: list[int]) -> set[int]:
+    """Which of the places aren't in a longest rising sequence of them."""
+    if all(a < b for a, b in zip(places, places[1:])):
+        return set()
+    tails: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, p in enumerate(places):
+        k = bisect_left(tails, p)
+        before.append(at[k - 1] if k else -1)
+        tails[k:], at[k:] = [p, *tails[k + 1 :]], [i, *at[k + 1 :]]
+    i, kept = at[-1], set()
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return set(range(len(places))) - kept
 
 
 class Template:
-    """The classes of one host: frame tokens in order, and of each other class its tokens in order."""
+    """The classes of one host: the frame's tokens in order, and of each other class its tokens in order.
+
+    Slots are numbered: 0 before the frame, then one after each token of the frame, then of each class.
+    """
 
     def __init__(self, frame: list[int], nested: list[list[int]]):
-        self.nested = nested
-        self.place = {t: i for i, t in enumerate(frame)}
-        self.member = {t: (c, i) for c, tokens in enumerate(nested) for i, t in enumerate(tokens)}
-        self.worded = {t >> 32 for t in [*self.place, *self.member] if t & 1}
-
-    def walk(self, reader: Reader, page: str) -> tuple[list[tuple[int, str, bool]], dict[int, tuple[bool, int, int]], list[int]]:
-        """Tags and what isn't template, and the gap of the frame they are in; of each class on the page whether its tokens are in order
-        and the first and last gap it is in; frame tokens that come too late."""
-        rest: list[tuple[int, str, bool]] = []
-        seen: dict[int, list] = {}
-        late: list[int] = []
-        at = 0
-        place, member, worded = self.place, self.member, self.worded
+        self.classes = [frame, *nested]
+        self.place = {t: (c, i) for c, tokens in enumerate(self.classes) for i, t in enumerate(tokens)}
+        self.base = [0]
+        for tokens in self.classes:
+            self.base.append(self.base[-1] + len(tokens))
+        self.worded = {t >> 44 for t in self.place if t & 1}
+
+    def tokens(self, reader: Reader, page: str) -> list[tuple[int, str]]:
+        """Numbers and what is shown of tags and words; texts of paths without words of the template are one, numbered -1."""
+        out: list[tuple[int, str]] = []
         for number, path, what in reader.items(page):
-            if number < 0:
-                if path not in worded:
-                    rest.append((at, what, False))
-                    continue
-                words = what.split()
-                todo = list(zip(reader.word_ids(path, words), words))
+            if number >= 0 or path not in self.worded:
+                out.append((number, what))
             else:
-                todo = ((number, what),)
-            for t, shown in todo:
-                p = place.get(t)
-                if p is not None:
-                    if p >= at:
-                        at = p + 1
+                words = what.split()
+                out += zip(reader.word_ids(path, words), words)
+        return out
+
+    def walk(self, reader: Reader, page: str) -> tuple[list[tuple[int, str, bool]], dict[int, list], set[int]]:
+        """Tags and what isn't template, with the slot they are in; of each class on the page whether its tokens are in order
+        and the least and greatest slot it is in; tokens of the frame that are out of order."""
+        rest: list[tuple[int, str, bool]] = []
+        seen: dict[int, list] = {}
+        place, base, classes = self.place, self.base, self.classes
+        tokens = self.tokens(reader, page)
+        frame = [k for k, (t, _) in enumerate(tokens) if t in place and place[t][0] == 0]
+        wrong = {frame[k] for k in out_of_order([place[tokens[k][0]][1] for k in frame])}
+        at, stack = 0, []
+
+        def close(upto: int) -> None:
+            while len(stack) > upto:
+                seen[stack.pop()[0]][0] = False
+
+        for k, (t, shown) in enumerate(tokens):
+            m = place.get(t)
+            if m is not None:
+                c, i = m
+                if c == 0:
+                    if k not in wrong:
+                        close(0)
+                        at = i + 1
+                else:
+                    slot = base[stack[-1][0]] + stack[-1][1] if stack else at
+                    mine = next((x for x in range(len(stack) - 1, -1, -1) if stack[x][0] == c), -1)
+                    if i == 0:
+                        if mine >= 0:
+                            close(mine)
+                            slot = base[stack[-1][0]] + stack[-1][1] if stack else at
+                        s = seen.setdefault(c, [True, slot, slot])
+                        s[1], s[2] = min(s[1], slot), max(s[2], slot)
+                        stack.append([c, 1])
+                    elif mine < 0:
+                        seen.setdefault(c, [True, slot, slot])[0] = False
                     else:
-                        late.append(t)
-                    if number >= 0:
-                        rest.append((at, shown, True))
-                    continue
-                m = member.get(t)
-                if m is not None:
-                    s = seen.setdefault(m[0], [True, at, at, 0])
-                    s[0] &= m[1] == s[3]
-                    s[1], s[2], s[3] = min(s[1], at), max(s[2], at), (m[1] + 1) % len(self.nested[m[0]])
-                if m is None or number >= 0:
-                    rest.append((at, shown, number >= 0))
-        return rest, {c: (s[0] and s[3] == 0, s[1], s[2]) for c, s in seen.items()}, late
+                        close(mine + 1)
+                        if stack[-1][1] != i:
+                            close(mine)
+                        elif i + 1 == len(classes[c]):
+                            stack.pop()
+                        else:
+                            stack[-1][1] = i + 1
+            slot = base[stack[-1][0]] + stack[-1][1] if stack else at
+            if m is None or not t & 1:
+                rest.append((slot, shown, t >= 0 and not t & 1))
+            if m is not None and stack:  # texts of one slot in several occurrences of a class are lines of their own
+                rest.append((slot, "<br>", True))
+        close(0)
+        return rest, seen, {tokens[k][0] for k in wrong}
 
 
 def _template(known: dict[str, Template], row) -> Template:
@@ -244,68 +295,117 @@ def _by_host(pages: DataFrame, table: DataFrame, run, schema: str) -> DataFrame:
     return pages.join(right, "host", "left").select("page_id", "host", "html", "row").mapInArrow(joined, schema)
 
 
+def _different(h: DataFrame) -> DataFrame:
+    """One row for each different page of a host: copies would look like a template."""
+    keyed = h.withColumn("k", F.xxhash64("html"))
+    many = cut(keyed.groupBy("host", "k").agg(F.count("k").alias("n")).where("n > 1").select("host", "k"))
+    if many.isEmpty():
+        return h
+    copies = join_small(keyed, many, ["host", "k"], "left_semi").groupBy("host", "k").agg(F.min(F.struct("page_id", "html")).alias("m")).select("m.page_id", "host", "m.html")
+    return join_small(keyed, many, ["host", "k"], "left_anti").select("page_id", "host", "html").unionByName(copies)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the pages at hand, for each host and token; a row of token -1 counts the pages."""
+    reader, names, known = Reader(), [], {}
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def send() -> Iterator[pa.RecordBatch]:
+        if held:
+            h, *cols = _added(*(np.concatenate(x) for x in zip(*held)))
+            for a in range(0, len(h), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(h[a : a + 50_000])), *(pa.array(x[a : a + 50_000]) for x in cols)], ["host", "token", "pages", "occ", "fp", "place", "once"])
+
+    for b in batches:
+        rand = page_random(b.column(0).to_numpy())
+        for page, host, r in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), rand):
+            if host not in known:
+                known[host] = len(names)
+                names.append(host)
+            u, place, c = np.unique(np.array([-1, *reader.numbers(page)], np.int64), return_index=True, return_counts=True)
+            held.append((np.full(len(u), known[host]), u, np.ones(len(u), np.int64), c, (c.astype(np.uint64) * r).view(np.int64), place, (c == 1).astype(np.int64)))
+            size += len(u)
+            if size >= HELD:
+                held[:] = [_added(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if size >= HELD // 2:
+                    yield from send()
+                    held.clear()
+                    names, known, size = [], {}, 0
+                    T.trim()
+    yield from send()
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, frame, nested): token hashes of the frame and of the valid classes, in order."""
-    h = _hosted(pages)
-    sizes = cut(h.groupBy("host").agg(F.count("page_id").alias("n")))
-    n = parts(pages)
-    groups = F.ceil(F.col("n") / GROUP)
-    grouped = h.join(F.broadcast(sizes) if 4 * plan_bytes(sizes) <= BROADCAST_BYTES else sizes, "host").select("page_id", "host", "html", F.pmod(F.xxhash64("page_id"), groups).alias("g"))
-
-    def count(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("page_id", "ascending"), ("html", "ascending")])
-        found = counts(t["html"].to_pylist(), t["page_id"].to_numpy(), SHARE)
-        return pa.table([pa.array([t["host"][0].as_py()] * len(found[0]), pa.string()), *(pa.array(x.astype(np.int64)) for x in found)], names=["host", "token", "pages", "occ", "fp", "place", "once"])
-
-    counted = grouped.repartition(n, "host", "g").groupBy("host", "g").applyInArrow(count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
+    """(host, frame, nested): tokens of the frame and of the valid classes, in order."""
+    h = _different(_hosted(pages))
+    counted = h.mapInArrow(_count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
     # sums wrap around: two halves are added apart and put together
     low, high = F.sum(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("fp", 32))
     total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once"))
+    total = cut(total.where(F.col("pages") >= min(TEMPLATED, PAGES)))
+    sizes = cut(total.where(f"token = -1 and pages >= {TEMPLATED}").select("host", F.col("pages").alias("n")))
     fp = F.struct(F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
-    supported = total.join(F.broadcast(sizes) if 4 * plan_bytes(sizes) <= BROADCAST_BYTES else sizes, "host").where((F.col("pages") >= SUPPORT * F.col("n")) & (F.col("n") >= TEMPLATED) & ((F.col("n") >= WORDED) | (F.col("token") % 2 == 0)))
+    enough = F.least(F.col("n"), F.greatest(F.lit(PAGES), F.ceil(SUPPORT * F.col("n"))))
+    supported = join_small(total.where("token != -1"), sizes, "host").where(F.col("pages") >= enough)
     whole = F.col("once") == F.col("n")
     is_frame = F.col("once") >= F.col("n") - F.floor(ODD * F.col("n"))
     # tokens of a class are on the same pages, so their mean first places are in the order that they have on the pages
     by_place = F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token)
-    classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens")).where(F.col("whole") | (F.size("tokens") >= LEAST))
+    classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
     frames = F.sort_array(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frames")
-    found = cut(classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
+    found = cut(classes.groupBy("host", "n").agg(frames, F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
 
     def order(source) -> Iterator[pa.RecordBatch]:
-        """The orders in which the frame's tokens stand on the pages that have most of them."""
+        """Pages on which a word of the template is, and those on which it stands next to no other token of it; the orders in
+        which the frame's tokens stand on the pages that have most of them."""
         reader, known = Reader(), {}
         for b, rows in source:
             acc: dict[tuple[str, bytes], int] = {}
             most: dict[str, int] = {}
+            words: Counter[tuple[str, int, int]] = Counter()
             for page, row in zip(b.column(2).to_pylist(), rows):
-                if row is None or row.plain:
+                if row is None:
                     continue
                 if row.host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[row.host] = frozenset(t for c in row.frames for t in c)
-                here = [t for t in reader.numbers(page) if t in known[row.host]]
+                    known[row.host] = Template([t for c in row.frames for t in c], row.nested)
+                t = known[row.host]
+                tokens = [x for x, _ in t.tokens(reader, page)]
+                inside = [x in t.place for x in tokens]
+                beside: dict[int, bool] = {}
+                for k, x in enumerate(tokens):
+                    if inside[k] and x & 1:
+                        beside[x] = beside.get(x, False) or k > 0 and inside[k - 1] or k + 1 < len(tokens) and inside[k + 1]
+                words.update((row.host, x, int(ok)) for x, ok in beside.items())
+                here = [x for k, x in enumerate(tokens) if inside[k] and t.place[x][0] == 0]
                 times = Counter(here)
-                here = [t for t in here if times[t] == 1]
+                here = [x for x in here if times[x] == 1]
                 if len(here) >= most.get(row.host, 1):
                     most[row.host] = len(here)
                     key = row.host, np.array(here, np.int64).tobytes()
                     acc[key] = acc.get(key, 0) + 1
             keys = [k for k in acc if len(k[1]) == 8 * most[k[0]]]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([acc[k] for k in keys], pa.int64()), pa.array([np.frombuffer(k[1], np.int64).tolist() for k in keys], pa.list_(pa.int64()))], ["host", "times", "seq"])
-
-    ordered = found.select("host", "n", F.flatten("frames").alias("frame"), "nested")
-    if not found.where("not plain").isEmpty():
-        seen = _by_host(h, found.select("host", "plain", "frames"), order, "host string, times bigint, seq array<bigint>").groupBy("host", "seq").agg(F.sum("times").alias("times"))
-        best = seen.groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
-        # a class that isn't on the page with most of the frame is one of the others
-        apart = F.filter("frames", lambda c: ~F.array_contains("seq", c[0]))
-        odd = F.col("seq").isNotNull()
-        ordered = found.join(best, "host", "left").select("host", "n", F.when(odd, F.col("seq")).otherwise(F.flatten("frames")).alias("frame"), F.when(odd, F.concat(apart, "nested")).otherwise(F.col("nested")).alias("nested"))
-    ordered = cut(ordered)
+            lists = [np.frombuffer(k[1], np.int64).tolist() for k in keys]
+            columns = [[k[0] for k in keys] + [k[0] for k in words], [acc[k] for k in keys] + list(words.values()), lists + [None] * len(words), [None] * len(keys) + [k[1] for k in words], [None] * len(keys) + [bool(k[2]) for k in words]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()))], ["host", "times", "seq", "word", "beside"])
+
+    got = cut(_by_host(h, found, order, "host string, times bigint, seq array<bigint>, word bigint, beside boolean"))
+    best = got.where("seq is not null").groupBy("host", "seq").agg(F.sum("times").alias("times")).groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
+    alone = F.coalesce(F.sum(F.when(~F.col("beside"), F.col("times"))), F.lit(0))
+    lone = got.where("word is not null").groupBy("host", "word").agg(F.sum("times").alias("times"), alone.alias("alone")).where(F.col("alone") > F.floor(ODD * F.col("times"))).groupBy("host").agg(F.collect_list("word").alias("lone"))
+    none = F.array().cast("array<bigint>")
+    kept = lambda c: F.array_except(c, F.coalesce("lone", none))
+    # a class that isn't on the page with most of the frame is one of the others
+    apart = F.filter("frames", lambda c: (F.size(c) >= LEAST) & F.col("seq").isNotNull() & ~F.array_contains(F.coalesce("seq", none), c[0]))
+    frame = F.coalesce("seq", F.flatten("frames"))
+    others = F.filter(F.transform(F.concat(apart, "nested"), kept), lambda c: F.size(c) >= LEAST)
+    ordered = cut(found.join(best, "host", "left").join(lone, "host", "left").select("host", "n", kept(frame).alias("frame"), others.alias("nested")))
 
     def check(source) -> Iterator[pa.RecordBatch]:
-        """Pages on which a frame token is out of order; those on which a class is in each gap, at -1 if out of order or in several."""
+        """Pages on which a frame token is out of order; those on which a class is in each slot, at -1 if out of order or in several."""
         reader, known = Reader(), {}
         for b, rows in source:
             acc: Counter[tuple[str, int, int]] = Counter()
@@ -313,22 +413,22 @@ def templates(pages: DataFrame) -> DataFrame:
                 if row is None:
                     continue
                 _, seen, late = _template(known, row).walk(reader, page)
-                acc.update((row.host, -1, x) for x in set(late))
+                acc.update((row.host, -1, x) for x in late)
                 acc.update((row.host, c, lo if good and lo == hi else -1) for c, (good, lo, hi) in seen.items())
             keys = list(acc)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array([acc[k] for k in keys], pa.int64())], ["host", "c", "at", "pages"])
 
     checked = cut(_by_host(h, ordered, check, "host string, c bigint, at bigint, pages bigint").groupBy("host", "c", "at").agg(F.sum("pages").alias("pages")))
     late = checked.where("c = -1").join(ordered.select("host", "n"), "host").where(F.col("pages") > F.floor(ODD * F.col("n"))).groupBy("host").agg(F.collect_list("at").alias("late"))
-    per = checked.where("c >= 0").groupBy("host", "c").agg(F.sum("pages").alias("pages"), F.max(F.when(F.col("at") >= 0, F.col("pages"))).alias("most"))
+    per = checked.where("c > 0").groupBy("host", "c").agg(F.sum("pages").alias("pages"), F.max(F.when(F.col("at") >= 0, F.col("pages"))).alias("most"))
     valid = per.where(F.col("most") >= F.col("pages") - F.floor(ODD * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
     frame = F.when(F.col("late").isNull(), F.col("frame")).otherwise(F.array_except("frame", "late"))
-    nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: F.get("nested", c))
+    nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: F.get("nested", c - 1))
     return cut(ordered.join(late, "host", "left").join(valid, "host", "left").select("host", frame.alias("frame"), nested.alias("nested")))
 
 
 def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
-    """(page_id, host, slot, text): what stands in each gap of the frame and isn't template, block tags as line breaks."""
+    """(page_id, host, slot, text): what stands in each slot and isn't template, block tags as line breaks."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         reader, known, whole = Reader(), {}, Template([], [])
@@ -360,10 +460,12 @@ def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def page_slots(pages: DataFrame) -> DataFrame:
-    """A row for each slot of each page that isn't empty: page_id, host, number of the gap in the host's frame, text.
+    """A row for each slot of each page that isn't empty: page_id, host, number of the slot in the host's template, text.
 
-    Null ids, null and empty pages give no row. A null url, or one without a host, belongs to the host "". Repeated rows give
-    repeated rows. The only page of a host has no template: all its text is slot 0. Other columns are ignored.
+    Null ids, null and empty pages give no row. A null url, or one without a host, belongs to the host "". Repeated rows and
+    copies of a page give rows each, but count once when the template is found. The only page of a host has no template:
+    all its text is slot 0. Pages of any length are read whole, in memory in proportion to the longest one. An empty table
+    gives no row. Of classes that tie for a place the least is taken. Other columns are ignored.
     """
     return extract(pages, templates(pages))
 
