@@ -2,8 +2,8 @@
 
 Documents become pieces of at most one bin's tokens. A shard of pieces is a pool of lengths. For each bin the longest
 piece left is set, then a subset-sum over the other lengths, held as one bitset per length, finds the fullest bin that
-can be made with it; that combination leaves the pool. Shards number in proportion to the input, so each stays the same
-size however large the table is.
+can be made with it; that combination leaves the pool. There is a shard for so many tokens of the input, whatever the
+session's settings, so the bins depend on the table only and no shard grows with it.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import documents, parts
-from .token_counts import VOCABULARY, token_counts
+from .cluster import cut, documents
+from .token_counts import token_counts
 
 CAPACITY = 2048
+#: Tokens of a shard, on average.
+SHARD = 1 << 23
 SCHEMA = "bin_id bigint, slot int, doc_id bigint, piece int, start_token bigint, n_tokens int"
 
 
@@ -68,13 +70,19 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def best_fit(lengths: DataFrame, capacity: int = CAPACITY, shards: int = 1) -> DataFrame:
     """Bins of the documents in (doc_id, n_tokens): one row for each piece of a document.
 
-    A document without tokens (null or 0) is in no bin. Longer ones than a bin are cut after each full bin, and nothing is
-    dropped. Repeated rows are packed as often as they occur; a null doc_id is packed as null.
+    A document without tokens (null or 0) is in no bin. Longer ones than a bin, of any length, are cut after each full bin, and
+    nothing is dropped. Repeated rows are packed as often as they occur; a null doc_id is packed as null. Of equal lengths the
+    least doc_id goes first. An empty table gives no bin. Other columns are ignored.
     """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
+        if not len(table):
+            return
         shard = table.column("shard")[0].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
         ids, n = table.column("doc_id").combine_chunks(), table.column("n_tokens").to_numpy().astype(np.int64)
         times = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), times)
@@ -85,15 +93,19 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY, shards: int = 1) -> D
         count = np.array([len(b) for b in bins], np.int64)
         number = np.repeat(np.arange(len(bins)), count)
         slot = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
-        return pa.table([pa.array(number + (shard << 32)), pa.array(slot.astype(np.int32)), ids.take(pa.array(row[order])), pa.array(piece[order].astype(np.int32)), pa.array(piece[order] * capacity), pa.array(size[order].astype(np.int32))], names=["bin_id", "slot", "doc_id", "piece", "start_token", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(number + (shard << 32)), pa.array(slot.astype(np.int32)), ids.take(pa.array(row[order])), pa.array(piece[order].astype(np.int32)), pa.array(piece[order] * capacity), pa.array(size[order].astype(np.int32))], ["bin_id", "slot", "doc_id", "piece", "start_token", "n_tokens"])
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).alias("shard")
-    return lengths.where("n_tokens > 0").select("doc_id", "n_tokens", shard).groupBy("shard").applyInArrow(run, SCHEMA)
+    # a task for each shard; rows without an id are spread by their length
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("n_tokens")).otherwise(F.xxhash64("doc_id"))
+    placed = lengths.where("n_tokens > 0").select("doc_id", "n_tokens", F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
+    return placed.repartitionById(shards, "shard").mapInArrow(run, SCHEMA)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Bins of the documents by their token counts. See best_fit for nulls, empty and long texts."""
-    return best_fit(token_counts(docs, vocabulary), capacity, parts(docs, 24 << 20))
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """Bins of the documents by their token counts, a shard for SHARD tokens. See best_fit for nulls, empty and long texts."""
+    lengths = cut(token_counts(docs, vocabulary))
+    tokens = lengths.agg(F.sum("n_tokens").alias("n")).first().n or 0
+    return best_fit(lengths, capacity, max(1, -(-tokens // SHARD)))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import text as T
 from .cluster import documents
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the vocabulary is if neither the argument nor the session's setting SETTING names another file.
+VOCABULARY, SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.weftlake.vocabulary"
 CACHED = 300_000
 
 
@@ -130,12 +131,15 @@ def counter(automaton: Automaton):
     return count
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row.
+def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every row. The vocabulary is a file that the driver reads.
 
-    A null or empty text has 0 tokens; a null doc_id stays null; repeated rows give repeated rows; other columns are ignored.
+    A null or empty text has 0 tokens; a null doc_id stays null; repeated rows give repeated rows. Texts of any length are
+    counted whole, in one pass and in memory in proportion to them; of pieces that match the longest is taken. An empty table gives no row.
+    Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(*read_vocabulary(vocabulary)))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Automaton.build(*read_vocabulary(vocabulary or spark.conf.get(SETTING, VOCABULARY))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(shared.value)
