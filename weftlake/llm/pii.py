@@ -27,31 +27,38 @@ K = len(TAGS)
 MARGIN = 3
 NOT_SPACE = ~T.SPACE
 STRIP = ".,;:!?\"'`%&*$#|<>[]{}~_"
-KEYWORDS = {"token", "password", "passwd", "pwd", "secret", "key", "api_key", "apikey", "auth", "bearer", "credential"}
+KEYWORDS = {"token", "password", "passwd", "passphrase", "pwd", "secret", "key", "api_key", "api-key", "apikey", "access_key", "secret_key", "client_secret", "auth", "bearer", "credential"}
+#: Sentences of the labelled table. {d3} stands for 3 digits; o: a number below 256, h: hex digits, u: capitals and digits, U: capitals,
+#: z: small letters and digits, m: letters of both cases and digits, C: letters of both cases, x: small letters, k: a keyword, w: a word.
 TEMPLATES = """
-w w [EMAIL x@x.com] w w|w w [EMAIL x.d@xd.x.com] w|[EMAIL x_x@x.org] w w w|w w: [EMAIL x.x@x.x.net]. w|w [EMAIL x+d@x.io] w w|w w [EMAIL xd@x-x.de] w
-w w [PHONE +d1 (d3) d3-d4] w w|w [PHONE +d1 (d3) d3-d4]|w w [PHONE (d3) d3-d4] w w|w [PHONE d3-d3-d4] w|w w [PHONE +d2 d2 d4 d4] w w|w [PHONE +d1-d3-d3-d4] w|w [PHONE d3.d3.d4] w|[PHONE +d2 d3 d7] w w
-w w [IP o.o.o.o] w w|w [IP o.o.o.o] w|[IP o.o.o.o] w w|w w w [IP o.o.o.o]. w|w [IP o.o.o.o]|w [IP o.o.o.o] w w
-w w [CARD d16] w w|w [CARD d16] w|[CARD d16] w w|w [CARD d4 d4 d4 d4] w w|w [CARD d4-d4-d4-d4] w|w w [CARD d15] w|w [CARD d16]|w w [CARD d16] [CARD d16] w
-w w [ID d3-d2-d4] w w|w [ID d3-d2-d4] w|w w [ID U2d2U4d14] w|[ID d3-d2-d4] w
-w w token = [SECRET "h40"] w w|w w. w token = [SECRET h32] w|w [SECRET password=h18] w w|w w [SECRET password=h18] w|w key: [SECRET h40] w w|w [SECRET AKIAu16] w w|w w [SECRET AKIAu16] w|[SECRET AKIAu16] w w|w [SECRET api_key=h24] w|w secret = [SECRET m32] w|w [SECRET sk-m32] w|w w [SECRET ghp_m36] w|w bearer [SECRET m40] w|w [SECRET h40] w w|w [SECRET h64] w|w [SECRET token="h40"] w
-w w w w w|w w, w w. w w|w w 3. w w|w w Version 2.0. w|w CC BY-NC 4.0. w w|w d4 w w|w d2 w d3 w|w 3.2.1 w w|w d1.d2 w w|w v1.2.3 w|w $d3.d2 w|w d2:d2 w w|w d4-d2-d2 w|w x=d1 w w|w = w w|w = d2 w w|w @x w w|w d1,d3 w|w d5 w w|w d6 w w|w d8 w w|w (d1) w w|w d2% w|w U3 w U5 w|w xd1 w xd2 w|w U2-d4 w w|w token w w|w the key = w w|w password w w|(w) w w (d4) w|w +d1 w w|w d3-d3 w w|w d1/d1/d4 w|w d2-w w|w x/x w|w www.x.com w|w U12 w U14 w U16 w
+{w} {w} [EMAIL {x}@{x}.com] {w} {w}|{w} {w} [EMAIL {x}.{d1}@{x}{d1}.{x3}.com] {w}|{w} [EMAIL {x}.{d2}@{x}{d1}.{x}.com] {w} {w}|{w} [EMAIL {x}{d3}@{x}.{x}.org] {w}|[EMAIL {x}_{x}@{x}.org] {w} {w} {w}|{w} {w}: [EMAIL {x}.{x}@{x}.{x}.net]. {w}|{w} {w} [EMAIL {x}+{d2}@{x}.io] {w} {w}|{w} [EMAIL {x}{d2}@{x}-{x}.de] {w}|{w} ([EMAIL {x}@{x}.co.uk]) {w}|{w} [EMAIL {W}.{W}@{x}.com], {w}
+{w} {w} [PHONE +{d1} ({d3}) {d3}-{d4}] {w} {w}|{w} [PHONE +{d1} ({d3}) {d3}-{d4}]|{w} {w} [PHONE ({d3}) {d3}-{d4}] {w} {w}|{w} [PHONE {d3}-{d3}-{d4}] {w}|{w} {w} [PHONE +{d2} {d2} {d4} {d4}] {w} {w}|{w} [PHONE +{d1}-{d3}-{d3}-{d4}] {w}|{w} [PHONE {d3}.{d3}.{d4}] {w}|[PHONE +{d2} {d3} {d7}] {w} {w}|{w} [PHONE +{d2} {d3} {d3} {d4}] {w}
+{w} {w} [IP {o}.{o}.{o}.{o}] {w} {w}|{w} [IP {o}.{o}.{o}.{o}] {w}|[IP {o}.{o}.{o}.{o}] {w} {w}|{w} {w} {w} [IP {o}.{o}.{o}.{o}]. {w}|{w} [IP {o}.{o}.{o}.{o}]|{w} {w} [IP {o}.{o}.{o}.{o}:{d4}] {w}|[IP {o}.{o}.{o}.{o}] [IP {o}.{o}.{o}.{o}] {w}|{w} [IP {d1}.{o}.{o}.{o}] {w}|{w} [IP {d2}.{d2}.{d1}.{d2}] {w}
+{w} [IP {h4}:{h4}:{h4}:{h4}:{h4}:{h4}:{h4}:{h4}] {w}|{w} {w} [IP {h4}:{h3}:{h4}:{d4}:{d4}:{h4}:{h4}:{d4}] {w}|{w} [IP fe80::{d1}] {w}|{w} [IP {d4}:{x2}{d1}::{h4}:{d4}] {w}|[IP {h4}::{h4}:{h4}] {w}|{w} [IP {d4}:{h3}:{h4}::{h4}:{d3}:{h4}] {w}|{w} [IP fe80::{h4}:{h4}:{h4}:{h4}] {w}|{w} [IP {d4}:db8::{d1}] {w}|{w} [IP {h4}:{h4}:{d1}:{d1}:{d1}:{d1}:{d1}:{d1}] {w}
+{w} {w} [CARD {d16}] {w} {w}|{w} [CARD {d16}] {w}|[CARD {d16}] {w} {w}|{w} [CARD {d4} {d4} {d4} {d4}] {w} {w}|{w} [CARD {d4}-{d4}-{d4}-{d4}] {w}|{w} {w} [CARD {d15}] {w}|{w} [CARD {d16}]|{w} {w} [CARD {d16}] [CARD {d16}] {w}|{w} [CARD {d4} {d6} {d5}] {w}|{w} [CARD {d19}] {w}
+{w} {w} [ID {d3}-{d2}-{d4}] {w} {w}|{w} [ID {d3}-{d2}-{d4}] {w}|[ID {d3}-{d2}-{d4}] {w}|{w} {w} [ID {U2}{d2}{U4}{d14}] {w}|{w} [ID {U2}{d20}] {w}|{w} [ID {U2}{d2} {U4} {d4} {d4} {d4} {d2}] {w}|IBAN [ID {U2}{d2} {d4} {d4} {d4} {d4} {d2}] {w}|{w} IBAN: [ID {U2}{d2} {U4} {d4} {d4} {d4} {d2}]|{w} [ID {U2}{d2} {d4} {d4} {d4} {d4} {d4} {d3}] {w}|{w} [ID {U2}{d2} {U4} {d4} {d4} {d2}] {w}|IBAN [ID {U2}{d2}{U4}{d14}] {w}|{w} [ID {U2}{d16}] {w}
+{w} {w} {k} = [SECRET "{h40}"] {w} {w}|{w} {w}. {w} {k} = [SECRET {h32}] {w}|{w} [SECRET {k}={h18}] {w} {w}|{w} {w} [SECRET {k}={h18}] {w}|{w} {k}: [SECRET {h40}] {w} {w}|{w} [SECRET AKIA{u16}] {w} {w}|{w} {w} [SECRET AKIA{u16}] {w}|{w} [SECRET {k}={h24}] {w}|{w} {k} = [SECRET {m32}] {w}|{w} [SECRET sk-{m32}] {w}|{w} {w} [SECRET ghp_{m36}] {w}|{w} bearer [SECRET {m40}] {w}|{w} [SECRET {k}="{h40}"] {w}|{w} {k}={w} [SECRET {k}={m24}] {w}
+{w} {k} is [SECRET {x6}{d1}] {w} {w}|{w} {k} is [SECRET {z10}]|the {k} is [SECRET {m12}] {w}|{w} {k}: [SECRET {z8}] {w}|{k}: [SECRET {x7}-{x5}-{x7}] {w}|{w} {k}: [SECRET {x5}-{x6}-{x4}-{x7}] {w} {w}|{k}: [SECRET {C20}]|{w} {k}: [SECRET {C16}] {w}|{w} {k}: [SECRET {C28}] {w}|{k}: [SECRET {m24}] {w}|{w} {k} = [SECRET {C24}] {w}|{w} {k}: [SECRET {m9}!] {w}|{w} {k} = [SECRET {z9}] {w}|{w} {k}: [SECRET "{m16}"] {w}|{w} {w} {k}: [SECRET {x5}-{x7}-{x6}]
+{w} {w} {w} {w} {w}|{w} {w}, {w} {w}. {w} {w}|{w} {w} 3. {w} {w}|{w} {w} Version 2.0. {w} {w}|{w} CC BY-NC 4.0. {w} {w}|{w} {d4} {w} {w}|{w} {d2} {w} {d3} {w}|{w} 3.2.1 {w} {w}|{w} {d1}.{d2} {w} {w}|{w} {w} v1.2.3 {w}|{w} ${d3}.{d2} {w}|{w} {d2}:{d2} {w} {w}|{w} {d4}-{d2}-{d2} {w}|{w} {x}={d1} {w}|{w} = {w} {w}|{w} = {d2} {w}|{w} @{x} {w} {w}|{w} {d1},{d3} {w}|{w} {d5} {w} {w}|{w} {d6} {w} {w}|{w} {d8} {w} {w}|{w} ({d1}) {w} {w}|{w} {d2}% {w}|{w} {U3} {w} {U5} {w}|{w} {x}{d1} {w} {x}{d2} {w}|{w} {U2}-{d4} {w} {w}|{w} token {w} {w}|{w} the key = {w} {w}|{w} {k} {w} {w}|({w}) {w} {w} ({d4}) {w}|{w} +{d1} {w} {w}|{w} {d3}-{d3} {w}|{w} {d1}/{d1}/{d4} {w}|{w} {d2}-{w} {w}|{w} {x}/{x} {w}|{w} www.{x}.com {w}|{w} {U12} {U14} {U16} {w}
+commit {h40} {w} {w}|{w} commit {h40}. {w}|{w} {w} {h40} {w} {w}|{w} {h40}|sha256 {h64} {w}|{w} sha256: {h64} {w}|{w} {h64} {w} {w}|{w} {h7} {w} {w}|{w} {h32} {w} {w}|{w} commit {h12} {w}|{w} digest sha1: {h40} {w}|{w} {h8}-{h4}-{h4}-{h4}-{h12} {w} {w}|{w} id {h8}-{h4}-{h4}-{h4}-{h12}|{w} ISBN {d3}-{d1}-{d2}-{d6}-{d1} {w}|ISBN {d13} {w} {w}|{w} {d13} {w}|{w} {d3}-{d1}-{d4}-{d4}-{d1} {w} {w}|ISBN {d1}-{d3}-{d5}-{d1} {w}|{w} {d10} {w} {w}|{w} {d12} {w}|{w} {d9} {w} {w}
+{w}: {w} {w}|{w} {w}: {d2} {w}|{w}: {x}-{x} {w} {w}|{w} {x}-{x}-{x} {w} {w}|{w} {d2}:{d2}:{d2} {w}|{w} {d4}-{d2}-{d2}T{d2}:{d2}:{d2} {w}|{w} {x}:{d1} {w}|{w} {k}: {w} {w} {w}|{k}: {w} {w}|{w} {k} is {w} {w}|the {k} is {w}|{w} {C12} {w} {w}|{w} {U4} {U2} {w}|{U6} {U5} {w}|{w}: {C14} {w}|{w} https://{x}.com/{x}/{d4} {w}|{w} http://{x}.{x}.org {w}|{w} {d3} x {d3} {w}|{w} {d1}.{d1}.{d1} {w}|{w} {x4}{d4} {w} {w}|{w} {U4}{d3} {w}|{w} {U2}{d2} {w} {w}|{w} {d4} {d4} {w} {w}|{w} {d4} {w} {d4} {w}|{w} {d2} {d2} {w}|{w} ({d3}) {w} {w}|{w} {d1}:{d1} {w}|{w} {w}: {x6}{d1} {w}|IBAN {w} {w}|{w} ISBN {w} {w}|{w} key: {w} {w}|{w} {C8} {C10} {w}|{w}::{w} {w} {w}|{w} 1.{d1}.{d2} {w} {w}
 """.replace("\n", "|").strip("|").split("|")
+_ALPHABETS = {"d": "0123456789", "h": "0123456789abcdef", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "C": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "m": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "z": "abcdefghijklmnopqrstuvwxyz0123456789"}
 
 
-def _token(pattern: str, r: random.Random) -> str:
+def _fill(pattern: str, r: random.Random) -> str:
+    """Text outside braces stays; what is in braces is replaced by random characters of its kind."""
+
     def one(m: re.Match) -> str:
         kind, n = m[1], int(m[2] or 0)
         if kind == "o":
             return str(r.randint(1, 255))
-        if kind in ("w", "x"):
-            n = n or r.randint(2, 9)
-        if kind == "d" and not n:
-            n = r.randint(1, 4)
-        alphabet = {"d": "0123456789", "h": "0123456789abcdef", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "m": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}.get(kind, "abcdefghijklmnopqrstuvwxyz")
-        return "".join(r.choice(alphabet) for _ in range(n))
+        if kind == "k":
+            return (lambda k: k.upper() if r.random() < 0.1 else k.capitalize() if r.random() < 0.2 else k)(r.choice(sorted(KEYWORDS)))
+        out = "".join(r.choice(_ALPHABETS.get(kind, "abcdefghijklmnopqrstuvwxyz")) for _ in range(n or r.randint(2, 9)))
+        return out.capitalize() if kind == "W" else out
 
-    return re.sub(r"(?<![a-zA-Z])([dhuUmxow])(\d*)(?![a-zA-Z0-9]{2}[a-z])|(?<=AKIA)(u)(\d+)|(?<=d\d)(U)(\d+)|(?<=U\d)(d)(\d+)", lambda m: one(re.match(r"(.)(\d*)", m[0])), pattern)
+    return re.sub(r"\{([a-zA-Z])(\d*)\}", one, pattern)
 
 
 @lru_cache(maxsize=1)
@@ -63,47 +70,27 @@ def labelled_table(copies: int = 5, seed: int = 7) -> tuple[tuple[int, int, str,
         for _ in range(copies):
             at = 0
             noise = r.choice(["", "", "", "", "%%%", "!!", "&&&", "$$$", "***", "###"])
-            for part in re.findall(r"\[[A-Z]+ [^\]]*\]|\S+", template):
-                kind, tokens = (part[1:-1].split()[0], part[1:-1].split()[1:]) if part[0] == "[" and " " in part else ("", [part])
-                for k, p in enumerate(tokens):
-                    word = _fill(p, r)
-                    word = word.capitalize() if p == "w" and r.random() < 0.2 else word
-                    rows.append((n, at, word + noise, f"{'I' if k else 'B'}-{kind}" if kind else "O"))
+            for part in re.findall(r"\(?\[[A-Z]+ [^\]]*\][).,]*|\S+", template):
+                item = re.match(r"(\(?)\[([A-Z]+) ([^\]]*)\](.*)", part)
+                tokens = item[3].split() if item else [part]
+                for k, pattern in enumerate(tokens):
+                    word = _fill(pattern, r)
+                    word = word.capitalize() if pattern == "{w}" and r.random() < 0.2 else word
+                    word = (item[1] if item and k == 0 else "") + word + (item[4] if item and k == len(tokens) - 1 else "")
+                    rows.append((n, at, word + noise, f"{'I' if k else 'B'}-{item[2]}" if item else "O"))
                     at += 1
             n += 1
-    items = [x for t in TEMPLATES for x in re.findall(r"\[[A-Z]+ [^\]]*\]", t)]
+    items = [x for t in TEMPLATES for x in re.findall(r"\[([A-Z]+) ([^\]]*)\]", t) if x[0] != "SECRET" or re.match(r"\{k\}=|AKIA|sk-|ghp_", x[1])]
     for _ in range(40 * copies):  # several items side by side
         at = 0
-        for part in r.choice(["", "w "]).split() + r.choices(items, k=r.randint(2, 3)) + ["w"]:
-            for k, p in enumerate(part[1:-1].split()[1:] if part != "w" else ["w"]):
-                rows.append((n, at, _fill(p, r), "O" if part == "w" else f"{'I' if k else 'B'}-{part[1:-1].split()[0]}"))
+        for kind, part in [("", "{w}")] * r.randint(0, 1) + r.choices(items, k=r.randint(2, 3)) + [("", "{w}")]:
+            for k, pattern in enumerate(part.split()):
+                rows.append((n, at, _fill(pattern, r), f"{'I' if k else 'B'}-{kind}" if kind else "O"))
                 at += 1
         n += 1
     return tuple(rows)
 
 
-_LITERAL = re.compile(r"token|password|passwd|secret|bearer|api_key|key|AKIA|sk-|ghp_|www|com|org|net|io|de|Version|CC|BY-NC|the|v1")
-
-
-def _fill(pattern: str, r: random.Random) -> str:
-    """Literals stay; elsewhere a letter with a number is replaced by so many random characters of its kind."""
-    out, i = "", 0
-    while i < len(pattern):
-        m = _LITERAL.match(pattern, i)
-        if m and not (m[0] in ("de", "io", "com", "org", "net") and pattern[i - 1 : i] != "."):
-            out += m[0]
-            i = m.end()
-            continue
-        m = re.compile(r"([dhuUmxow])(\d*)").match(pattern, i)
-        if m:
-            out += _token(m[0], r) if m[1] != "o" else str(r.randint(1, 255))
-            i = m.end()
-        else:
-            out += pattern[i]
-            i += 1
-    return out
-
-
 def core(token: str) -> tuple[int, int]:
     """Where the token begins and ends without the punctuation around it."""
     a, b = 0, len(token)
@@ -119,47 +106,71 @@ def core(token: str) -> tuple[int, int]:
     return a, b
 
 
+def _class(group: str) -> str:
+    """d: digits, x: small letters, X: capitals, C: both; with digits h: a hex number, m, M or z: small, capitals, both."""
+    if group.isdigit():
+        return "d"
+    lower, upper = any(c.islower() for c in group), any(c.isupper() for c in group)
+    if not any(c.isdigit() for c in group):
+        return "C" if upper and lower else "X" if upper else "x"
+    return "z" if upper and lower else "M" if upper else "h" if not set(group) - set("0123456789abcdef") else "m"
+
+
+def _size(n: int) -> int:
+    """Lengths that are told apart."""
+    return n if n <= 4 or 12 < n <= 16 else next(x for x in (64, 40, 32, 24, 20, 17, 10, 8, 5) if n >= x)
+
+
+_GROUPS = re.compile(r"[^\W_]+|[\W_]")
+
+
 def neighbour_class(token: str) -> str:
+    """What a token says of those beside it."""
     c = token[slice(*core(token))]
+    if c.rstrip(":=").lower() in KEYWORDS:
+        return "assigned" if token.rstrip(STRIP.replace(":", ""))[-1:] in (":", "=") else "keyword"
+    if token == "=":
+        return "equals"
+    groups = _GROUPS.findall(c)
     if not any(x.isdigit() for x in c):
-        return "keyword" if c.lower() in KEYWORDS else "equals" if token == "=" else "plain"
-    shape = re.sub(r"[^\W\d_]+", "x", re.sub(r"\d+", "d", c))
-    return shape if shape in ("+d", "(d)", "d-d", "+d-d-d-d") else f"d{min(5, len(c))}" if shape == "d" and len(c) <= 4 else "number" if shape == "d" else "other"
+        return f"X{len(c)}" if len(groups) == 1 and 2 <= len(c) <= 5 and c.isupper() else "plain"
+    if len(c) <= 5 and len(groups) == 1:
+        return f"{_class(c)}{len(c)}"
+    return "".join(_class(g) + str(_size(len(g))) if g[0].isalnum() else g for g in groups) if len(groups) <= 7 and set(c) <= set("0123456789+-().") else "number" if c.isdigit() else "other"
 
 
 def plain(token: str) -> bool:
-    """Letters and punctuation only, and no sign of a secret."""
-    return not (any(x.isdigit() for x in token) or "@" in token or "=" in token or len(token) >= 16 and not any(x.islower() or ord(x) > 127 for x in token))
+    """Letters and punctuation only, and no sign of a secret: it doesn't begin a window."""
+    return not (any(x.isdigit() for x in token) or "@" in token or "=" in token or ":" in token or len(token) >= 16 and not any(x.islower() or ord(x) > 127 for x in token))
 
 
 def features(token: str) -> list[str]:
-    """Of the token alone. Plain tokens have one in common, and whether they are a keyword."""
-    if plain(token):
-        return ["plain", "class=" + neighbour_class(token)]
+    """Of the shape of the token alone: the classes of its groups of letters and digits, with and without lengths, and its punctuation."""
     c = token[slice(*core(token))]
-    digits = sum(x.isdigit() for x in c)
-    letters = sum(x.isalpha() for x in c)
-    shape = re.sub(r"[^\W\d_]+", "x", re.sub(r"\d+", "d", c))
-    value = re.split(r"[=:]", c)[-1].strip(STRIP)
-    mixed = bool(re.fullmatch(r"[A-Za-z0-9_\-+/]{16,}", value)) and any(x.isdigit() for x in value) and any(x.isalpha() for x in value)
-    out = [f"shape={shape[:12]}", f"digits={[0, 1, 2, 2, 3, 4, 4, 4, 5, 5, 5, 5, 5][digits] if digits < 13 else 6 if digits < 20 else 7}", f"length={sum(len(c) > x for x in (3, 7, 12, 15, 19, 31))}"]
-    if re.fullmatch(r"[^@\s]+@[\w\-]+(\.[\w\-]+)+", c):
-        out.append("address")
-    if shape == "d.d.d.d" and all(int(x) < 256 for x in c.split(".") if x.isdigit()):
-        out.append("octets")
-    if re.fullmatch(r"(\d[\-.]?){7,15}|\+\d[\d\-.()]{6,}", c) and shape != "d" and not shape.startswith("d.d.d.d"):
-        out.append("groups=" + "-".join(str(len(x)) for x in re.split(r"\D+", c) if x))
-    if shape == "d" and 13 <= digits <= 19:
-        out.append("long number")
-    if mixed:
-        out += ["mixed", "mixed hex" if re.fullmatch(r"[0-9a-f]+", value) else "mixed other"]
-    if re.fullmatch(r"[A-Z0-9]{20}", c) and c[:4].isalpha() or re.fullmatch(r"AKIA[A-Z0-9]{16}", c):
-        out.append("key id")
-    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", c):
-        out.append("account")
-    if re.match(r"(?i)(token|pass|pwd|secret|api|key|auth)\w*[=:].{8,}", c):
-        out.append("assigned")
-    if not digits and letters and c == token.strip("=") and "=" not in c:
+    groups = _GROUPS.findall(c)
+    alnum = [g for g in groups if g[0].isalnum()]
+    if plain(token):
+        odd = f"capitals {min(len(c), 6)}" if len(alnum) == len(groups) == 1 and c.isupper() and len(c) > 1 else f"hyphens {min(c.count('-'), 3)}" if c.count("-") > 1 else "mixed letters" if len(c) >= 8 and _class(c) == "C" and not c[1:].islower() else ""
+        return ["plain", "class=" + neighbour_class(token), *[odd] * bool(odd)]
+    kinds = [_class(g) if g[0].isalnum() else g for g in groups]
+    shape = "".join(kinds)
+    rough = re.sub(r"(?:a([:.\-])){3,}", r"a\1..", "".join("a" if g[0].isalnum() else g for g in groups))
+    longest = max(alnum, key=len, default="")
+    out = ["rough=" + rough, f"length={_size(len(c) or 1)}", f"digits={_size(sum(x.isdigit() for x in c) or 1)}", f"groups={min(len(alnum), 9)}", f"longest={_class(longest) if longest else ''}{_size(len(longest) or 1)}"]
+    if len(groups) <= 9:
+        out += ["shape=" + shape, "sizes=" + "".join(k + str(_size(len(g))) if g[0].isalnum() else k for k, g in zip(kinds, groups))]
+    if alnum:
+        out += [f"first={_class(alnum[0])}{_size(len(alnum[0]))}", f"last={_class(alnum[-1])}{_size(len(alnum[-1]))}", f"marks={''.join(sorted({g for g in groups if not g[0].isalnum()}))}"]
+        if all(g.isdigit() for g in alnum):
+            out.append(f"bytes={all(int(g) < 256 for g in alnum if len(g) < 9)}, {max(map(len, alnum)) <= 3}, {min(len(alnum), 5)}")
+        head = re.match(r"([^=:]+)[=:](.)", c)
+        if head and head[1].lower() in KEYWORDS:
+            out += ["assigns", f"assigns {_class(longest)}"]
+        if all(set(g) <= set("0123456789abcdefABCDEF") and len(g) <= 4 for g in alnum) and ":" in c:
+            out.append(f"short hex, {min(c.count(':'), 7)}, {'::' in c}")
+        letters = re.match(r"[A-Z]+", alnum[0])
+        out.append(f"capitals {min(len(letters[0]), 6)}" if letters and len(alnum) == 1 else "no capitals")
+    if not any(x.isdigit() for x in c):
         out.append("letters only")
     return out
 
@@ -249,7 +260,7 @@ def model() -> Crf:
 
 _BITS = np.zeros(256, np.uint8)
 _BITS[48:58] = 1
-_BITS[[ord("@"), ord("=")]] = 1
+_BITS[[ord("@"), ord("="), ord(":")]] = 1
 _BITS[97:123] = 2
 _BITS[128:] = 2
 
@@ -332,8 +343,9 @@ def _redacted(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[d
 def private_spans(docs: DataFrame) -> DataFrame:
     """The documents that hold private data: (doc_id, n_spans, spans, text), with characters of each span and the redacted text.
 
-    Null, empty and clean texts give no row. A null doc_id stays null, repeated rows give repeated rows; other columns are
-    ignored.
+    Null, empty and clean texts give no row. A null doc_id stays null, repeated rows give repeated rows. Texts of any length are
+    read whole, in memory in proportion to their words; of tags that tie the first in TAGS is taken. An empty table gives no row.
+    Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model())
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
