@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlake.llm import decontaminate, jaccard, packing, pii, quality
 from weftlake.llm.cluster import shared_dir
+from weftlake.runtime import scratch
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("benchmark decontamination", remove_benchmark), ("PII", redact), ("best-fit packing", pack)]
-#: The classifier, the CRF and the packing can't be put in SQL; tests hold run() against brute force.
+#: The classifier, the CRF and the packing can't be put in SQL; tests/llm holds run() against brute-force versions of the stages.
 ORACLE_SQL = None
 
 
@@ -49,6 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlake.functions import calls, ids
-from weftlake.functions.select_list import column_source, output_columns, select_columns, split_commas, top_level_from
+from weftlake.functions.select_list import column_source, output_columns, select_columns, select_sources, split_commas, top_level_from
 from weftlake.operators import select
 
 
@@ -89,15 +89,16 @@ def test_scanning():
 
 
 def test_column_source(spark):
-    def source(sql, column):
-        row = spark.createDataFrame([(sql, column)], "s string, c string").select(column_source(F.col("s"), F.col("c")).alias("y")).first().y
-        return tuple(row)
-
+    source = column_source
     assert source("select o.id as key from t", "key") == ("o", "id", False)
     assert source("select o.id from t", "id") == ("o", "id", False)
     assert source("select sum(x) as s from t", "s") == (None, None, True)
     assert source("select id as key from t", "key") == (None, "key", False)
     assert source("select a.x y, b from t", "y") == ("a", "x", False)
+    assert source("select é_1.x AS y1 from t", "y1") == ("é_1", "x", False) and source("select f(a.b) from t", "c.*d") == (None, "c.*d", False)
+    got = one(spark, select_sources, "select o.id as k, *, {{ m() }}, count(*) as n from {{ ref('t') }} o")
+    assert [tuple(r) for r in got] == [("k", "o", "id", False, False), ("*", None, None, True, False), ("__jinja__", None, None, False, True), ("n", None, None, False, True)]
+    assert one(spark, select_sources, None) == []
 
 
 def test_ids(spark):
@@ -115,6 +116,11 @@ def test_selectors():
     assert select.parse_selectors(" tag:a ,, path:b/c, m,") == [("tag", "a"), ("path", "b/c"), ("name", "m")] and select.parse_selectors("") == []
 
 
+def test_selectors_of_a_column(spark):
+    for text in (" tag:a ,, path:b/c, m,", "", "tag:", "x:y,tag:a:b"):
+        assert [tuple(x) for x in one(spark, select.parsed_selectors, text)] == select.parse_selectors(text)
+
+
 def test_sql_functions(spark):
     from weftlake.functions import sql
 

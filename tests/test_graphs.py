@@ -1,5 +1,6 @@
 """Traversals of random graphs against plain Python, and every query against its SQL."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -63,6 +64,37 @@ def test_cycles(spark):
     assert traverse.has_cycle(loop)
     with pytest.raises(CycleDetected):
         layout.layout(nodes, loop)
+    assert {r.unique_id: r.layer for r in layout.layout(nodes, loop, cyclic="spread").collect()} == {f"n{i:02}": i for i in range(25)}
+
+
+def test_ranks_within_groups(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(3), i, r.random()) for i in range(500)]
+    got = traverse.ranked(spark.createDataFrame(rows, "g int, i int, k double").repartition(5), "g", ["k"]).collect()
+    for g in range(3):
+        assert [x.i for x in sorted((x for x in got if x.g == g), key=lambda x: x.rank)] == [i for h, i, _ in sorted(rows, key=lambda x: x[2]) if h == g]
+        assert sorted(x.rank for x in got if x.g == g) == list(range(sum(h == g for h, _, _ in rows)))
+    assert traverse.ranked(spark.createDataFrame([], "g int, k double"), "g", ["k"]).count() == 0
+
+
+def test_crossings_reduced_on_executors_as_on_the_driver(spark, monkeypatch):
+    nodes, edges, _ = graph(spark, 5, 14, 20)
+    here = {(r.unique_id, r.layer, r.pos) for r in layout.layout(nodes, edges).collect()}
+    monkeypatch.setattr(layout, "FEW", 0)
+    assert {(r.unique_id, r.layer, r.pos) for r in layout.layout(nodes, edges).collect()} == here
+
+
+def test_written_tables_are_deleted(spark, tmp_path):
+    from weftlake import runtime
+
+    with runtime.scratch(spark):
+        kept = runtime.cut(spark.range(5))
+        path = kept._written.removeprefix("file://")
+        assert kept.count() == 5 and os.path.exists(path)
+        with runtime.scratch(spark):
+            inner = runtime.cut(spark.range(3))._written.removeprefix("file://")
+        assert not os.path.exists(inner) and os.path.exists(path)
+    assert not os.path.exists(path)
 
 
 def test_barycenter_orders_by_mean(spark):

@@ -150,6 +150,17 @@ def test_streamed_run_results(spark, built, tmp_path):
     assert step("1.json", RESULTS["results"])["model.spend"] == "error"
     now = step("2.json", [{"unique_id": "model.shop.spend", "status": "success", "timing": [{"name": "e", "completed_at": "2100-01-01T00:00:00Z"}]}])
     assert now["model.spend"] == "success" and now["model.lost"] == "skipped" and len(now) == 12
+    assert spark.read.parquet(f"{out}/v=1").count() == 1
+    run_status.compact(spark, out)
+    assert {r.unique_id: r.status for r in run_status.current(spark, out).collect()} == now and run_status.versions(spark, out) == [1]
+    assert step("3.json", [{"unique_id": "model.shop.spend", "status": "fail"}])["model.spend"] == "error"
+
+
+def test_column_lineage_is_resolved_when_first_shown(built):
+    nodes, _, files = built
+    lazy = explore.ColumnLineage(nodes, files)
+    first = lazy.toggle()
+    assert first.count() > 0 and lazy.toggle() is None and lazy.toggle() is first
 
 
 def test_manifest(spark, tmp_path):
@@ -194,6 +205,11 @@ def test_diff_of_versions(spark, root, built):
     assert "+ more (model)" in text and "- lost (model)" in text and 'materialization: "view" -> "table"' in text and "+ model.spend -> model.more (ref)" in text
     g("checkout", "-q", ".")
     (root / "models/marts/more.sql").unlink()
+    with pytest.raises(FileReadError):
+        git.show_all(root, "trunk", ["models/marts/spend.sql", "none"])
+    (root / "dbt_project.yml").write_text("name: shop\nmodel-paths: [elsewhere]\n")  # a revision is read by its own settings
+    assert cli.graph_at(spark, root, "trunk")[0].where("unique_id = 'model.spend'").count() == 1
+    g("checkout", "-q", ".")
 
 
 def test_node_changes(spark):

@@ -31,7 +31,7 @@ def graph_at(spark: SparkSession, root: str | Path, ref: str) -> tuple[DataFrame
     try:
         made = build.from_manifest(artifacts.parse_manifest(spark, git.show(root, ref, "target/manifest.json"), ref))
     except FileReadError:
-        p = project.Project.load(root)
+        p = project.Project.parse(git.show(root, ref, "dbt_project.yml"), Path(root), ref)
         made = build.from_files(git.files_at(spark, root, ref, {"model": p.model_paths, "seed": p.seed_paths, "snapshot": p.snapshot_paths, "test": p.test_paths}))
     return cut(made[0]), cut(made[1])
 

@@ -25,9 +25,5 @@ class CycleDetected(LineageError):
     """The dependencies aren't acyclic."""
 
 
-class DuplicateModel(LineageError):
-    """Several files define one name; raised only in strict checks."""
-
-
 class YamlParseError(LineageError):
     """A YAML file is malformed; scans skip such files."""

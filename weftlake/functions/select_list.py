@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from .calls import COMMENT, TAG
 
@@ -93,30 +93,42 @@ def select_columns(sql: pd.Series) -> pd.Series:
     return sql.map(output_columns)
 
 
-def _literal(x: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+ITEM = StructType([StructField(c, StringType()) for c in ("column_name", "source_alias", "source_column")] + [StructField(c, BooleanType()) for c in ("is_star", "is_derived")])
 
 
-def _group(text: Column, pattern: Column, n: int) -> Column:
-    return F.call_function("regexp_extract", text, pattern, F.lit(n))
+@lru_cache(maxsize=50_000)
+def _patterns(column: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    c = re.escape(column)
+    return (
+        re.compile(rf"{_WORDS}\.{_WORDS}{_AS}{c}(?:[\s,]|\Z)", re.I),
+        re.compile(rf"{_WORDS}\.{c}\b", re.I),
+        re.compile(rf"\w+\s*[(][^)]*[)]{_AS}{c}", re.I),
+    )
 
 
-def column_source(sql: Column, column: Column) -> Column:
-    """struct<source_alias, source_column, is_derived> of an output column of the text without template tags.
+def column_source(sql: str, column: str) -> tuple[str | None, str | None, bool]:
+    """(source_alias, source_column, is_derived) of an output column of the text without template tags.
 
     First of: table.column before the name, table.name, a function call before the name (derived), the name itself.
     """
-    renamed = F.concat(F.lit(rf"(?iU){_WORDS}\.{_WORDS}{_AS}"), _literal(column), F.lit(r"(?:[\s,]|\z)"))
-    direct = F.concat(F.lit(rf"(?iU){_WORDS}\."), _literal(column), F.lit(r"\b"))
-    called = F.concat(F.lit(rf"(?iU)\w+\s*[(][^)]*[)]{_AS}"), _literal(column))
-    none = F.lit(None).cast("string")
-
-    def answer(alias: Column, source: Column, derived: bool) -> Column:
-        return F.struct(alias.alias("source_alias"), source.alias("source_column"), F.lit(derived).alias("is_derived"))
-
-    return (
-        F.when(F.regexp_like(sql, renamed), answer(_group(sql, renamed, 1), _group(sql, renamed, 2), False))
-        .when(F.regexp_like(sql, direct), answer(_group(sql, direct, 1), column, False))
-        .when(F.regexp_like(sql, called), answer(none, none, True))
-        .otherwise(answer(none, column, False))
-    )
+    renamed, direct, called = _patterns(column)
+    if m := renamed.search(sql):
+        return m[1], m[2], False
+    if m := direct.search(sql):
+        return m[1], column, False
+    return (None, None, True) if called.search(sql) else (None, column, False)
+
+
+def select_list(sql: str | None) -> list[dict]:
+    """Output columns of the first SELECT with their sources; * is a star, a template tag is derived."""
+    text, out = _strip(sql or ""), []
+    for c in output_columns(sql):
+        alias, source, derived = (None, None, c == "__jinja__") if c in ("*", "__jinja__") else column_source(text, c)
+        out.append({"column_name": c, "source_alias": alias, "source_column": source, "is_star": c == "*", "is_derived": derived})
+    return out
+
+
+@F.pandas_udf(ArrayType(ITEM))
+def select_sources(sql: pd.Series) -> pd.Series:
+    """select_list() by Arrow batch: patterns depend on the column's name, so they are compiled once for each name, not for each row."""
+    return sql.map(select_list)

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calls
-from ..functions.select_list import column_source, select_columns
+from ..functions.select_list import select_sources
 from ..runtime import cut, light
 
 
 def select_items(sql: DataFrame) -> DataFrame:
     """(unique_id, at, column_name, source_alias, source_column, is_star, is_derived) of (unique_id, content)."""
-    t = sql.select("unique_id", calls.strip_template(F.col("content")).alias("sql"), F.posexplode(select_columns("content")).alias("at", "column_name"))
-    s = column_source(F.col("sql"), F.col("column_name"))
-    is_star, macro = F.col("column_name") == "*", F.col("column_name") == "__jinja__"
-    found = F.when(~is_star & ~macro, s)
-    return t.withColumn("s", found).select("unique_id", "at", "column_name", "s.source_alias", "s.source_column", is_star.alias("is_star"), F.coalesce("s.is_derived", macro).alias("is_derived"))
+    return sql.select("unique_id", F.posexplode(select_sources("content")).alias("at", "s")).select("unique_id", "at", "s.*")
 
 
 def table_refs(sql: DataFrame) -> DataFrame:
@@ -30,7 +28,7 @@ def column_edges(sql: DataFrame, nodes: DataFrame) -> DataFrame:
     star: every known column of every table of the text. derived: a column without one source. aliased or direct: by the
     alias, else by the only table of the text; without either there is no edge.
     """
-    refs, items = table_refs(sql), select_items(sql)
+    refs, items = table_refs(sql), cut(select_items(sql))
     named = refs.where("alias is not null").groupBy("unique_id", F.col("alias").alias("source_alias")).agg(F.max_by("node_id", "at").alias("named"))
     only = refs.groupBy("unique_id").agg(F.when(F.count("node_id") == 1, F.first("node_id")).alias("only"))
     known = nodes.select(F.col("unique_id").alias("node_id"), "columns")
@@ -61,13 +59,9 @@ def provenance(edges: DataFrame, node: str, column: str, depth: int = 100) -> Da
     while len(levels) <= depth:
         at = levels[-1].select(F.col("node").alias("target_node"), F.col("column").alias("target_column"))
         step = pairs.join(light(at), ["target_node", "target_column"]).select(F.col("source_node").alias("node"), F.col("source_column").alias("column")).distinct()
-        for level in levels:
-            step = step.join(level.select("node", "column"), ["node", "column"], "left_anti")
-        new = cut(step.withColumn("hops", F.lit(len(levels))))
+        seen = reduce(DataFrame.unionByName, levels).select("node", "column")
+        new = cut(step.join(seen, ["node", "column"], "left_anti").withColumn("hops", F.lit(len(levels))))
         if new.isEmpty():
             break
         levels.append(new)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return reduce(DataFrame.unionByName, levels)

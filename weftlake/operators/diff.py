@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import traverse
+
 STATUSES = ["added", "modified", "removed", "unchanged"]
 _COMPARED = ["materialization", "tags", "columns", "description"]
 
@@ -55,3 +57,9 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def ordered(nodes: DataFrame) -> DataFrame:
     """Added, modified, removed, unchanged."""
     return nodes.orderBy(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")), "unique_id")
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """The same order as a column: place, from 0."""
+    keyed = nodes.withColumns({"all": F.lit(0), "kind": F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))})
+    return traverse.ranked(keyed, "all", ["kind", "unique_id"]).drop("all", "kind").withColumnRenamed("rank", "place")

@@ -44,6 +44,12 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("severity_rank"), "distance", "unique_id")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """The same order as a column: place, from 0."""
+    keyed = rows.withColumns({"all": F.lit(0), "good": 3 - F.col("severity_rank")})
+    return traverse.ranked(keyed, "all", ["good", "distance", "unique_id"]).drop("all", "good").withColumnRenamed("rank", "place")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """One row: how many models, tests and exposures, and the worst severity (low if nothing is affected)."""
     count = lambda t: F.count_if(F.col("node_type") == t).alias(f"{t}s")
@@ -51,11 +57,17 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("unique_id").alias("affected"), count("model"), count("test"), count("exposure"), severity(worst).alias("overall"))
 
 
+def report_row(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """One row: the source, the summary, and the labels of a longest path."""
+    rows = impacted(nodes, edges, start)
+    labels = nodes.groupBy("unique_id").agg(F.min("label").alias("label"))
+    path = traverse.longest_path(edges, start).join(labels, "unique_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "label"))), lambda x: x.label).alias("longest_path"))
+    one = start.agg(F.min("unique_id").alias("source"))
+    return one.crossJoin(summary(rows)).crossJoin(path).withColumn("longest_path_length", F.size("longest_path") - 1)
+
+
 def report(nodes: DataFrame, edges: DataFrame, name: str) -> dict:
     """All of it for one node, collected; for renderers."""
-    start = lookup(nodes, name)
-    rows = cut(impacted(nodes, edges, start))
-    path = traverse.longest_path(edges, start).join(nodes.groupBy("unique_id").agg(F.min("label").alias("label")), "unique_id").orderBy("position")
-    labels = [r.label for r in path.collect()]
-    out = {"source": start.first().unique_id, **summary(rows).first().asDict(), "longest_path": labels, "longest_path_length": len(labels) - 1, "impacted": [r.asDict() for r in ordered(rows).collect()]}
-    return out
+    nodes, edges = cut(nodes), cut(edges)
+    start = cut(lookup(nodes, name))
+    return {**report_row(nodes, edges, start).first().asDict(), "impacted": [r.asDict() for r in ordered(impacted(nodes, edges, start)).collect()]}

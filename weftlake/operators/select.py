@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CycleDetected, ModelNotFound
+from ..runtime import cut
 from . import traverse
 
 OPTIONAL = ("test", "seed", "snapshot", "exposure")
@@ -22,6 +23,13 @@ def parse_selectors(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def parsed_selectors(text: Column) -> Column:
+    """The same as array<struct<kind, value>> of a column of selector texts."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    prefix = lambda p: F.when(p.startswith("tag:"), "tag").when(p.startswith("path:"), "path")
+    return F.transform(parts, lambda p: F.struct(F.coalesce(prefix(p), F.lit("name")).alias("kind"), F.when(prefix(p).isNull(), p).otherwise(F.regexp_replace(p, "^[a-z]+:", "")).alias("value")))
+
+
 def selector(text: str) -> Column:
     """Nodes that any part selects: by tag, by the beginning of the path, by label."""
     tests = {"tag": lambda v: F.array_contains("tags", v), "path": lambda v: F.coalesce(F.col("file_path").startswith(v), F.lit(False)), "name": lambda v: F.col("label") == v}
@@ -49,6 +57,7 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 def filtered(nodes: DataFrame, edges: DataFrame, model: str | None = None, up: int | None = None, down: int | None = None, select: str | None = None, include: tuple[str, ...] = OPTIONAL, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """The part of a graph that was asked for. With a focus, selectors narrow what it reaches; "+m", "m+" name neighbours."""
+    edges = cut(edges)
     if check and traverse.has_cycle(edges):
         raise CycleDetected("the graph has a cycle")
     kept = nodes

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CycleDetected
-from ..runtime import cut, light
+from ..runtime import cut, discard, light
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -22,13 +22,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, upstream: bool = False) -> DataFrame:
     """(unique_id, depth) of the starts (0) and of all nodes that they lead to, with the fewest hops; no more than depth."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    pairs = edges.select(F.col(a).alias("unique_id"), F.col(b).alias("next")).where(F.col(a) != F.col(b))
+    pairs = cut(edges.select(F.col(a).alias("unique_id"), F.col(b).alias("next")).where(F.col(a) != F.col(b)))
     levels = [cut(starts.select("unique_id").distinct().withColumn("depth", F.lit(0)))]
     while depth is None or len(levels) <= depth:
         step = pairs.join(light(levels[-1].select("unique_id")), "unique_id").select(F.col("next").alias("unique_id")).distinct()
-        for level in levels:
-            step = step.join(light(level.select("unique_id")), "unique_id", "left_anti")
-        new = cut(step.withColumn("depth", F.lit(len(levels))))
+        new = cut(step.join(light(_union(levels).select("unique_id")), "unique_id", "left_anti").withColumn("depth", F.lit(len(levels))))
         if new.isEmpty():
             break
         levels.append(new)
@@ -40,8 +38,10 @@ def path_through(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reach(edges, starts).select("unique_id").union(reach(edges, starts, upstream=True).select("unique_id")).distinct()
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(unique_id, layer): 0 for nodes that nothing leads to, else one more than the highest before. An error on a cycle.
+def layers(nodes: DataFrame, edges: DataFrame, cyclic: str = "error") -> DataFrame:
+    """(unique_id, layer): 0 for nodes that nothing leads to, else one more than the highest before.
+
+    On a cycle an error, or, if cyclic is "spread", a layer for each node, in order of ids.
 
     Peeling: what still has an edge into it after k rounds is in a layer above k; a round drops the edges whose start has
     no edge into it. If a round drops none, the rest is a cycle.
@@ -52,14 +52,33 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while left:
         into = cut(alive.select(F.col("dst").alias("unique_id")).distinct())
         levels.append(into.withColumn("layer", F.lit(len(levels))))
-        alive = cut(alive.join(light(into.withColumnRenamed("unique_id", "src")), "src", "left_semi"))
+        before, alive = alive, cut(alive.join(light(into.withColumnRenamed("unique_id", "src")), "src", "left_semi"))
         now = alive.count()
         if now == left:
-            raise CycleDetected(f"{now} edges are on or behind cycles")
+            if cyclic == "error":
+                raise CycleDetected(f"{now} edges are on or behind cycles")
+            return ranked(ids.withColumn("all", F.lit(0)), "all", ["unique_id"]).select("unique_id", F.col("rank").alias("layer"))
+        discard(before)
         left = now
     return _union(levels).groupBy("unique_id").agg(F.max("layer").alias("layer"))
 
 
+def ranked(table: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """The rows with their rank (from 0) within the group in order of the keys, which are unique there and not null.
+
+    No task holds a whole group: rows are sorted by ranges of group and keys, and a small table has what comes before each.
+    """
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [group, *keys]
+    at = cut(table.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    at = at.withColumn("__part", F.shiftright("__at", 33))
+    per = at.groupBy("__part", group).agg(F.min("__at").alias("__first"), F.count("__at").alias("__n"))  # a row for each part of a group
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = cut(per.select("__part", group, (before - F.col("__first")).alias("__start")))
+    rank = (F.col("__at") + F.col("__start")).cast("int")
+    return at.join(light(start), ["__part", group]).select(*table.columns, rank.alias("rank"))
+
+
 def has_cycle(edges: DataFrame) -> bool:
     try:
         layers(edges.select(F.col("src").alias("unique_id")), edges)
@@ -69,24 +88,26 @@ def has_cycle(edges: DataFrame) -> bool:
 
 
 def longest_path(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(position, unique_id) of a longest path from the start; of several, the one of the least ids from its end back."""
-    pairs = edges.select("src", "dst").distinct()
-    at = cut(start.select("unique_id").distinct())
-    steps = [at]
+    """(position, unique_id) of a longest path from the start; of several, the one of the least ids from its end back.
+
+    Each round keeps, for each node that a walk of its length ends in, the least one before it; the path is read back from these.
+    """
+    pairs = cut(edges.select("src", "dst").distinct())
+    steps = [cut(start.select("unique_id", F.lit(None).cast("string").alias("before")).distinct())]
     bound = None
     while True:
-        at = cut(pairs.join(light(at.withColumnRenamed("unique_id", "src")), "src").select(F.col("dst").alias("unique_id")).distinct())
-        if at.isEmpty():
+        at = light(steps[-1].select(F.col("unique_id").alias("src")))
+        new = cut(pairs.join(at, "src").groupBy(F.col("dst").alias("unique_id")).agg(F.min("src").alias("before")))
+        if new.isEmpty():
             break
-        steps.append(at)
+        steps.append(new)
         if len(steps) % 64 == 0:  # so long a walk may go round a cycle
             bound = bound or reach(edges, start).count()
             if len(steps) > bound:
                 raise CycleDetected("the longest path has no end")
-    node = steps[-1].agg(F.min("unique_id").alias("u")).first().u
-    found = [node]
-    for level in reversed(steps[:-1]):
-        before = pairs.where(F.col("dst") == node).select(F.col("src").alias("unique_id"))
-        node = before.join(level, "unique_id", "left_semi").agg(F.min("unique_id").alias("u")).first().u
-        found.append(node)
+    end = steps[-1].orderBy("unique_id").limit(1).first()
+    found = [end.unique_id]
+    for level in reversed(steps[:-1]):  # a filter on one column of a written table
+        found.append(end.before)
+        end = level.where(F.col("unique_id") == end.before).first()
     return edges.sparkSession.createDataFrame(list(enumerate(reversed(found))), "position int, unique_id string")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calls, ids
+from ..functions.select_list import select_columns
 from ..operators import build, column_lineage, diff, explore, impact, layout, select, status, traverse
 from ..runtime import cut
 from ..schemas import display_name
-from ..sinks import drawings, lines
+from ..sinks import drawings, lines, reports
 from . import workloads as W
 
-START, MODEL = "seed.nation_3", "order_7"
+START, MODEL, MODEL_ID = "seed.nation_3", "order_7", "model.order_7"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -35,13 +36,6 @@ def _lines_of(s: SparkSession, d: str) -> DataFrame:
     return W.nodes(s, d).where(F.col("label").startswith("line_7_"))
 
 
-def _part(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The part of the graph below the start, written once."""
-    e = W.edges(s, d)
-    kept = cut(W.nodes(s, d).join(traverse.reach(e, _start(s, d)), "unique_id", "left_semi"))
-    return kept, cut(select.induced(e, kept))
-
-
 # texts
 
 
@@ -133,8 +127,38 @@ def non_blank_descriptions(s, d):
 
 @query
 def parse_selectors(s, d):
-    rows = [(i, k, v) for i, (k, v) in enumerate(select.parse_selectors(" tag:BUILDING, ,path:models/marts , order_7,"))]
-    return s.createDataFrame(rows, "at int, kind string, value string")
+    text = F.concat(F.lit(" tag:"), "o_orderpriority", F.lit(", ,path:models/"), F.lower("o_orderstatus"), F.lit(" , order_"), F.col("o_orderkey").cast("string"), F.lit(", other:x,"))
+    return W.table(s, d, "orders").select("o_orderkey", F.posexplode(select.parsed_selectors(text)).alias("at", "s")).select("o_orderkey", "at", "s.*")
+
+
+@query
+def item_aliases(s, d):
+    o = W.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return o.select("k", F.posexplode(select_columns(F.expr(W.ITEM_TEXT))).alias("at", "column_name"))
+
+
+def _all_columns(s, d):
+    """Column lineage from nodes and files: orders have files, customers known columns."""
+    n = W.nodes(s, d)
+    known = n.where(F.col("label").startswith("customer_")).withColumn("columns", F.array(F.lit("id"), F.lit("name")))
+    o = n.where(F.col("label").startswith("order_"))
+    files = o.select("unique_id", F.col("file_path").alias("path")).join(W.models(s, d), "unique_id").select("path", "content")
+    return column_lineage.resolve(known.unionByName(o), files)
+
+
+@query
+def resolve_columns(s, d):
+    return _all_columns(s, d)
+
+
+@query
+def columns_into(s, d):
+    return column_lineage.into(_all_columns(s, d), MODEL_ID)
+
+
+@query
+def column_provenance(s, d):
+    return column_lineage.provenance(_all_columns(s, d), "model.order_8", "name")
 
 
 # construction
@@ -192,6 +216,33 @@ def sql_edges(s, d):
     return build.sql_edges(build.sql_calls(files), W.nodes(s, d))
 
 
+@query
+def files_nodes(s, d):
+    return build.from_files(W.files(s, d))[0].select("unique_id", "label", "node_type", "file_path", "description", "materialization", _joined("tags"), _joined("columns"))
+
+
+@query
+def files_edges(s, d):
+    return build.from_files(W.files(s, d))[1]
+
+
+@query
+def manifest_nodes(s, d):
+    return build.manifest_nodes(W.manifest(s, d)).select("unique_id", "label", "node_type", "file_path", "description", "materialization", _joined("tags"))
+
+
+@query
+def manifest_edges(s, d):
+    return build.manifest_edges(W.manifest(s, d))
+
+
+@query
+def manifest_graph(s, d):
+    n, e = build.from_manifest(W.manifest(s, d))
+    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("part"), F.col(c).alias("type")).agg(F.count(c).alias("n"))
+    return count(n, "node", "node_type").unionByName(count(e, "edge", "edge_type"))
+
+
 # traversal and filters
 
 
@@ -199,9 +250,7 @@ def sql_edges(s, d):
 def cycle_check(s, d):
     e = W.edges(s, d)
     back = s.createDataFrame([("model.order_7", START, "ref")], e.schema)
-    k = W.table(s, d, "orders").where("o_orderkey = 7").count()  # the edge back closes a cycle if the order is below the start
-    n = traverse.reach(e, _start(s, d)).where("unique_id = 'model.order_7'").count() if k else 0
-    return s.createDataFrame([("graph", traverse.has_cycle(e)), ("with an edge back", traverse.has_cycle(e.unionByName(back)) == bool(n))], "what string, value boolean")
+    return s.createDataFrame([("graph", traverse.has_cycle(e)), ("with an edge back", traverse.has_cycle(e.unionByName(back)))], "what string, value boolean")
 
 
 @query
@@ -291,6 +340,22 @@ def impact_histogram(s, d):
     return impact_nodes(s, d).groupBy("distance", "node_type", "severity").agg(F.count("unique_id").alias("n"))
 
 
+@query
+def impact_ordered(s, d):
+    return impact.placed(impact_nodes(s, d)).select("unique_id", "place")
+
+
+@query
+def impact_report(s, d):
+    r = impact.report_row(W.nodes(s, d), W.edges(s, d), _start(s, d))
+    return r.withColumn("longest_path", F.array_join("longest_path", " -> "))
+
+
+@query
+def impact_lines(s, d):
+    return reports.impact_lines(impact_nodes(s, d)).select("line")
+
+
 @query
 def impact_lookup(s, d):
     n = W.nodes(s, d)
@@ -326,10 +391,37 @@ def barycenter_pass(s, d):
     return layout.barycenter(p, W.edges(s, d)).withColumn("barycenter", F.round("barycenter", 6))
 
 
+def _placed(s, d):
+    return cut(layout.initial(layers(s, d)))
+
+
+@query
+def crossing_sweep(s, d):
+    return layout.reduce_crossings(_placed(s, d), W.edges(s, d), rounds=1)
+
+
+@query
+def layers_of_a_cycle(s, d):
+    """Customers and orders with an edge from each order back: there are no layers, so each node has its own."""
+    e = W.edges(s, d).where(F.col("dst").startswith("model.order_"))
+    e = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type")))
+    n = e.select(F.col("src").alias("unique_id")).distinct()
+    return traverse.layers(n, e, cyclic="spread")
+
+
 @query
 def svg_coords(s, d):
-    n, e = _part(s, d)
-    return drawings.curves(layout.initial(traverse.layers(n, e)), e)
+    return drawings.curves(_placed(s, d), W.edges(s, d))
+
+
+@query
+def svg_elements(s, d):
+    return drawings.svg_elements(W.nodes(s, d), W.edges(s, d), _placed(s, d)).select("element")
+
+
+@query
+def edge_routes(s, d):
+    return explore.routes(_placed(s, d), W.edges(s, d))
 
 
 @query
@@ -351,6 +443,16 @@ def node_changes(s, d):
     return diff.node_diff(*W.versions(s, d)).where("status = 'modified'").select("unique_id", F.array_join("changes", "; ").alias("changes"))
 
 
+@query
+def diff_ordered(s, d):
+    return diff.placed(diff.node_diff(*W.versions(s, d))).select("unique_id", "status", "place")
+
+
+@query
+def diff_lines(s, d):
+    return reports.diff_lines(diff.node_diff(*W.versions(s, d)), edge_diff(s, d)).select("line")
+
+
 @query
 def edge_diff(s, d):
     return diff.edge_diff(*W.edge_versions(s, d))
@@ -364,10 +466,6 @@ def diff_summary(s, d):
 # run status
 
 
-def _customers(s, d):
-    return W.nodes(s, d).where(F.col("label").startswith("customer_"))
-
-
 @query
 def run_completed_at(s, d):
     return W.run_results(s, d).select("seq", status.completed_at().alias("completed_at"))
@@ -380,7 +478,7 @@ def run_lookup(s, d):
 
 @query
 def run_status(s, d):
-    return status.statuses(_customers(s, d), W.run_results(s, d), W.modified(s, d))
+    return status.statuses(W.nodes(s, d), W.run_results(s, d), W.modified(s, d))
 
 
 @query
@@ -391,8 +489,8 @@ def freshness(s, d):
 @query
 def run_status_merge(s, d):
     r = W.run_results(s, d)
-    old = status.statuses(_customers(s, d), r.where("seq % 2 = 0"), W.modified(s, d))
-    return status.merge(old, status.statuses(_customers(s, d), r.where("seq % 7 = 1"), W.modified(s, d)))
+    old = status.statuses(W.nodes(s, d), r.where("seq % 2 = 0"), W.modified(s, d))
+    return status.merge(old, status.statuses(W.nodes(s, d), r.where("seq % 7 = 1"), W.modified(s, d)))
 
 
 @query
@@ -426,12 +524,7 @@ def list_entries(s, d):
 
 @query
 def status_filter(s, d):
-    return explore.viewed(_customers(s, d), ["model"], "errored", run_status(s, d)).select("unique_id")
-
-
-@W.once
-def _placed(s, d):
-    return layout.initial(traverse.layers(*_part(s, d)))
+    return explore.viewed(W.nodes(s, d), ["model"], "errored", run_status(s, d)).select("unique_id")
 
 
 @query
@@ -470,6 +563,16 @@ def node_detail_neighbors(s, d):
     return explore.node_detail(W.nodes(s, d), W.edges(s, d), "model.order_7")["neighbours"]
 
 
+@query
+def highlighted_path(s, d):
+    return explore.highlighted(W.nodes(s, d), W.edges(s, d), "model.customer_11")[0]
+
+
+@query
+def highlighted_impact(s, d):
+    return explore.highlighted(W.nodes(s, d), W.edges(s, d), "model.customer_11")[1]
+
+
 # sinks
 
 
@@ -486,3 +589,8 @@ def mermaid_lines(s, d):
 @query
 def json_nodes(s, d):
     return lines.json_nodes(W.nodes(s, d))
+
+
+@query
+def json_edges(s, d):
+    return lines.json_edges(W.edges(s, d)).select("json")

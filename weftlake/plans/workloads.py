@@ -7,15 +7,14 @@ to lines.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators.build import node_rows
-from ..runtime import cut
+from ..schemas import MANIFEST
+from ..sources.project import FILES
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,23 +32,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag.select(F.concat(kind, F.lit(".line_"), _key("l_orderkey", "l_linenumber")).alias("line_id"), kind.alias("kind"), "l_orderkey", "ends")
 
 
-_ONCE: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def once(what: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Made and written once for each application and folder: loops read it again and again."""
-
-    @wraps(what)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, what.__name__)
-        if key not in _ONCE:
-            _ONCE[key] = cut(what(spark, sf_dir))
-        return _ONCE[key]
-
-    return run
-
-
-@once
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
 
@@ -73,7 +55,6 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@once
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     i = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
@@ -118,20 +99,87 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("model.order_"), F.col("k").cast("string")).alias("unique_id"), F.expr(SQL_TEXT).alias("content"))
 
 
+def _number(c: str):
+    return F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+
+
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders' nodes of two versions: even keys and multiples of 3, odd keys and multiples of 3 with some views made tables."""
-    n = nodes(spark, sf_dir).where(F.col("label").startswith("order_")).withColumn("k", F.substring_index("label", "_", -1).cast("long"))
+    """All nodes of two versions, by the number k that their ids end in: even ones and multiples of 3, odd ones and multiples of 3;
+    in the second some settings, tags, descriptions and columns differ, and some ids repeat."""
+    n = nodes(spark, sf_dir).withColumn("k", _number("unique_id"))
     base = n.where("k % 2 = 0 or k % 3 = 0").drop("k")
-    changed = F.when((F.col("materialization") == "view") & (F.col("k") % 9 == 0), "table").otherwise(F.col("materialization"))
-    tags = F.when(F.col("k") % 15 == 0, F.array_append("tags", "new")).otherwise(F.col("tags"))
-    return base, n.where("k % 2 = 1 or k % 3 = 0").withColumn("materialization", changed).withColumn("tags", tags).drop("k")
+    head = n.where("k % 2 = 1 or k % 3 = 0").withColumns({
+        "materialization": F.when((F.col("materialization") == "view") & (F.col("k") % 9 == 0), "table").otherwise(F.col("materialization")),
+        "tags": F.when(F.col("k") % 15 == 0, F.array_append("tags", "new")).otherwise(F.col("tags")),
+        "description": F.when(F.col("k") % 21 == 0, "changed").otherwise(F.col("description")),
+        "columns": F.when(F.col("k") % 33 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.col("columns")),
+    })
+    again = head.where("k % 50 = 0").withColumn("materialization", F.lit("zeta"))
+    return base, head.unionByName(again).drop("k")
 
 
 def edge_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = edges(spark, sf_dir).where(F.col("dst").startswith("model.order_")).withColumn("k", F.substring_index("dst", "_", -1).cast("long"))
+    e = edges(spark, sf_dir).withColumn("k", _number("dst"))
     return e.where("k % 2 = 0 or k % 3 = 0").drop("k"), e.where("k % 2 = 1 or k % 3 = 0").drop("k")
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compiled artifact for each order, read from JSON: its model, its source and, for each tenth, an exposure."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    join = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    before, after = ((F.col("o_orderkey") + d).cast("string") for d in (-1, 1))
+    model, source, board = join("model.shop.order_", k), join("source.shop.tpch.", k), join("exposure.shop.board_", k)
+    deps = lambda *x: F.struct(F.array(*x).alias("nodes")).alias("depends_on")
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "analysis").otherwise("model").alias("resource_type")
+    node = F.struct(
+        model.alias("unique_id"), join("order_", k).alias("name"), kind, deps(join("model.shop.customer_", c), source, join("model.shop.order_", before)),
+        F.struct(F.lit("view").alias("materialized"), F.array(join("t", (F.col("o_orderkey") % 3).cast("string"))).alias("tags")).alias("config"),
+        F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(join("d", k)).alias("description"), join("marts/order_", k, ".sql").alias("path"),
+        F.when(F.col("o_orderkey") % 2 == 0, join("models/marts/order_", k, ".sql")).alias("original_file_path"),
+    )
+    src = F.struct(source.alias("unique_id"), k.alias("name"), F.lit("tpch").alias("source_name"), F.lit("source").alias("resource_type"), F.lit("s").alias("description"))
+    exposure = F.struct(board.alias("unique_id"), join("board_", k).alias("name"), deps(model, join("model.order_", after)), F.when(F.col("o_orderkey") % 20 == 0, "Board").alias("label"))
+    parts = F.struct(F.create_map(model, node).alias("nodes"), F.create_map(source, src).alias("sources"), F.when(F.col("o_orderkey") % 10 == 0, F.create_map(board, exposure)).alias("exposures"))
+    text = table(spark, sf_dir, "orders").select(F.to_json(parts).alias("value"))
+    return text.select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FILES of a project: models of orders and customers, a YAML file for each customer, seeds, snapshots and tests."""
+    t = lambda name: table(spark, sf_dir, name)
+    c, n, s, part = (F.col(x).cast("string") for x in ("c_custkey", "n_nationkey", "s_suppkey", "p_partkey"))
+    join = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+
+    def made(df: DataFrame, path, kind: str, content) -> DataFrame:
+        return df.select(path.alias("path"), F.lit(kind).alias("kind"), content.alias("content"), F.lit(None).cast("timestamp").alias("modified_at"))
+
+    tables = F.array(F.struct(c.alias("name"), F.when(F.col("c_custkey") % 2 == 0, "t").alias("description")))
+    yaml = F.struct(
+        F.array(F.struct(F.lit("tpch").alias("name"), F.lit("all").alias("description"), tables.alias("tables"))).alias("sources"),
+        F.array(F.struct(join("customer_", c).alias("name"), F.lit("c").alias("description"), F.array(F.lit("z"), F.lit("a")).alias("tags"), F.struct(F.lit("view").alias("materialized"), F.array(F.lit("m"), F.lit("a")).alias("tags")).alias("config"))).alias("models"),
+        F.array(F.struct(join("board_", c).alias("name"), F.lit("b").alias("description"), F.array(join("ref('customer_", c, "')"), F.lit("source('tpch', '1')"), join("ref('nope_", c, "')")).alias("depends_on"))).alias("exposures"),
+    )
+    out = made(models(spark, sf_dir).withColumn("k", F.substring_index("unique_id", "_", -1)), join("models/marts/order_", F.col("k"), ".sql"), "model", F.col("content"))
+    for df in (
+        made(t("customer"), join("models/staging/customer_", c, ".sql"), "model", join("select id, name from {{ source('tpch', '", c, "') }}")),
+        made(t("customer"), join("models/staging/c_", c, ".yml"), "yaml", F.to_json(yaml)),
+        made(t("nation"), join("seeds/nation_", n, ".csv"), "seed", F.lit(None).cast("string")),
+        made(t("supplier"), join("snapshots/supplier_", s, ".sql"), "snapshot", join("select * from {{ ref('nation_", F.col("s_nationkey").cast("string"), "') }}")),
+        made(t("part"), join("tests/part_", part, ".sql"), "test", join("select * from {{ ref('order_", part, "') }}")),
+    ):
+        out = out.unionByName(df)
+    return spark.createDataFrame([], FILES).unionByName(out)
+
+
+#: Texts with items in parentheses and quoted names, by an order's key modulo 3.
+ITEM_TEXTS = [
+    "select (a + b) as total, (select max(x) from t) `mx`, o.\"Big\" from {{ ref('customer_<c>') }} o",
+    "select (a), (b) c, `d` from {{ ref('customer_<c>') }}",
+    "select count(*), sum(x) as \"S\", y AS `y z` from {{ ref('customer_<c>') }}",
+]
+ITEM_TEXT = "CASE k % 3 " + " ".join(f"WHEN {i} THEN {sql_concat(t)}" for i, t in enumerate(ITEM_TEXTS)) + " END"
+
+
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as run results of customers' models: (seq, unique_id, status, message, timing)."""
     e = table(spark, sf_dir, "events")

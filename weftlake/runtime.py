@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Estimated bytes of a table up to which it is broadcast.
 BROADCAST_BYTES = 24 << 20
+_WRITTEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +31,32 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: later failures don't recompute what came before."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() wrote; nothing that reads it may be run again."""
+    _delete(df.sparkSession, df._written)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what cut() has written meanwhile. For callers whose results are written or collected by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            _delete(spark, path)
 
 
 def plan_bytes(df: DataFrame) -> int:

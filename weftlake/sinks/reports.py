@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import diff
 from . import drawings, lines
@@ -12,6 +13,19 @@ from . import drawings, lines
 FORMATS = {"dot": lines.dot, "mermaid": lines.mermaid, "json": lines.to_json, "svg": drawings.svg, "html": drawings.html, "ascii": drawings.ascii}
 
 
+def impact_lines(rows: DataFrame) -> DataFrame:
+    """(unique_id, line) of what is affected."""
+    return rows.select("unique_id", F.format_string("  [%s] %s (%s, %d away)", "severity", "label", "node_type", "distance").alias("line"))
+
+
+def diff_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, line) of nodes that changed, with what changed in lines below, and of edges."""
+    sign = lambda: F.when(F.col("status") == "added", "+").when(F.col("status") == "removed", "-").otherwise("~")
+    more = F.array_join(F.transform("changes", lambda c: F.concat(F.lit("\n    "), c)), "")
+    n = nodes.where("status != 'unchanged'").select(F.col("unique_id").alias("key"), F.concat(F.format_string("%s %s (%s)", sign(), "label", "node_type"), more).alias("line"))
+    return n.unionByName(edges.select(F.concat_ws(" ", "src", "dst").alias("key"), F.format_string("%s %s -> %s (%s)", sign(), "src", "dst", "edge_type").alias("line")))
+
+
 def impact_text(report: dict) -> str:
     head = [f"Impact of {report['source']}: {report['overall']}", f"  {report['models']} models, {report['tests']} tests, {report['exposures']} exposures"]
     rows = [f"  [{r['severity']}] {r['label']} ({r['node_type']}, {r['distance']} away)" for r in report["impacted"]]

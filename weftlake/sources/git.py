@@ -45,15 +45,36 @@ def listed(root: str | Path, ref: str, prefix: str = "") -> list[str]:
     return [x for x in done.stdout.split("\0") if x] if not done.returncode else []
 
 
+def show_all(root: str | Path, ref: str, paths: list[str]) -> list[str]:
+    """The files' texts at a revision, by one process."""
+    asked = "".join(f"{ref}:./{p}\n" for p in paths).encode()
+    done = subprocess.run(["git", "-C", str(root), "cat-file", "--batch"], input=asked, capture_output=True)
+    out, at = [], 0
+    for p in paths:
+        end = done.stdout.find(b"\n", at)
+        head = done.stdout[at:end].split() if end >= 0 else []
+        if len(head) != 3 or not head[2].isdigit():
+            raise FileReadError(f"{ref}:{p}")
+        at = end + 1 + int(head[2])
+        try:
+            out.append(done.stdout[end + 1 : at].decode())
+        except UnicodeDecodeError as e:
+            raise FileReadError(f"{ref}:{p}") from e
+        at += 1
+    return out
+
+
 def files_at(spark: SparkSession, root: str | Path, ref: str, folders: dict[str, list[str]]) -> DataFrame:
     """FILES of the project at a revision, without times."""
-    rows = []
+    found: list[tuple[str, str]] = []
     for kind, paths in folders.items():
         for folder in paths:
             for p in listed(root, ref, folder):
                 suffix = Path(p).suffix
                 if suffix in (".yml", ".yaml"):
-                    rows.append((p, "yaml", show(root, ref, p), None))
+                    found.append((p, "yaml"))
                 elif suffix == (".csv" if kind == "seed" else ".sql"):
-                    rows.append((p, kind, None if kind == "seed" else show(root, ref, p), None))
-    return spark.createDataFrame(rows, FILES)
+                    found.append((p, kind))
+    read = [p for p, kind in found if kind != "seed"]
+    texts = dict(zip(read, show_all(root, ref, read)))
+    return spark.createDataFrame([(p, kind, texts.get(p), None) for p, kind in found], FILES)

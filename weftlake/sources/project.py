@@ -38,10 +38,15 @@ class Project:
         file = root / "dbt_project.yml"
         if not file.is_file():
             raise ProjectNotFound(str(file))
+        return cls.parse(file.read_text(), root, str(file))
+
+    @classmethod
+    def parse(cls, text: str, root: Path, file: str) -> Project:
+        """From the text of a project file."""
         try:
-            found = yaml.safe_load(file.read_text())
+            found = yaml.safe_load(text)
         except yaml.YAMLError as e:
-            raise YamlParseError(str(file)) from e
+            raise YamlParseError(file) from e
         if not isinstance(found, dict) or not isinstance(found.get("name"), str):
             raise YamlParseError(f"{file}: a name is required")
         return cls(found["name"], root, **{f"{k}_paths": found[f"{k}-paths"] for k in ("model", "seed", "snapshot", "test") if found.get(f"{k}-paths") is not None})
