@@ -7,7 +7,8 @@ word counts only if it stands next to another token of the template. A class is
 order wherever it occurs and all its occurrences on a page lie in one gap of one class, again but for a few odd pages. So
 valid classes are nested in each other, and every gap of a class is a slot. What stands in the slots and is not template is
 extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts times a random number of the page, and
-tasks add up what they have seen of any host, so pages aren't exchanged and no host is too large.
+tasks add up what they have seen of any host, so pages aren't exchanged and no host is too large. Counted are the tokens that
+can be on enough pages, by bounds that blocks of pages give; none that is on enough is left out.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ TEMPLATED = 2
 SUPPORT, PAGES, LEAST = 0.1, 3, 2
 #: Share of pages on which a class, a word or a token of the frame may fail: error pages, truncated ones.
 ODD = 0.05
-#: Tokens whose counts a task adds up before it gives them on.
-HELD = 300_000
+#: Tokens of a block of pages, and those whose counts a task adds up before it gives them on.
+BLOCK, HELD = 1 << 22, 300_000
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?""",
     re.S | re.I,
@@ -53,7 +54,8 @@ class Reader:
 
     def __init__(self):
         self.paths: dict[str, int] = {}
-        self.tags: dict[str, int] = {}
+        self.moves: dict[str, dict[str, tuple[int, str, str, int]]] = {}
+        self.met = 0
         self.words: dict[int, dict[str, int]] = {}
         self.known = 0
 
@@ -66,24 +68,55 @@ class Reader:
     def word_ids(self, path: int, words: list[str]) -> list[int]:
         known = self.words.get(path)
         if known is None:
-            if self.known > 400_000:
+            if self.known > 300_000:
                 self.words.clear()
                 self.known = 0
             known = self.words[path] = _Words(self, path)
         return list(map(known.__getitem__, words))
 
+    def move(self, where: str, m: re.Match) -> tuple[int, str, str, int]:
+        """Number of a tag that is met at a path (-1: it is none), what is shown of it, and the path after it with its hash.
+
+        A block tag closes an open paragraph; inline tags don't change the path, so one that is never closed does no harm.
+        """
+        script, *parts = m.groups()
+        slash, name, rest = parts[:3] if parts[1] else parts[3:]
+        if script:
+            key, shown = f"{where}<{script.lower()}>", f"<{script.lower()}>"
+        elif not name:
+            return -1, "", where, self.path(where)
+        else:
+            name, path = name.lower(), where.split("/") if where else []
+            if slash:
+                if name in path and name not in _INLINE:
+                    while path.pop() != name:
+                        pass
+                    where = "/".join(path)
+                shown = f"</{name}>"
+                key = where + shown
+            else:
+                if name in _BLOCK and path and path[-1] == "p":
+                    path.pop()
+                    where = "/".join(path)
+                found = _CLASS.search(rest) if rest else None
+                shown = f"<{name}>"
+                key = f"{where}<{name}.{found[1]}>" if found else where + shown
+                if name not in _VOID and name not in _INLINE and not rest.rstrip().endswith("/"):
+                    where = f"{where}/{name}" if where else name
+        return xxhash.xxh3_64_intdigest(key) >> 2 << 1, shown, where, self.path(where)
+
     def items(self, page: str) -> list[tuple[int, int, str]]:
         """(number, path, tag) of each tag and (-1, path, text) of each text between tags, entities decoded.
 
-        Scripts, styles and comments are one token each without what is in them. A block tag closes an open paragraph; inline
-        tags don't change the path, so one that is never closed does no harm.
+        Scripts, styles and comments are one token each without what is in them.
         """
         out: list[tuple[int, int, str]] = []
-        if len(self.tags) > 200_000:
-            self.tags.clear()
+        if self.met > 100_000:
+            self.moves.clear()
             self.paths.clear()
-        path: list[str] = []
+            self.met = 0
         where, here, last = "", self.path(""), 0
+        moves = self.moves.setdefault("", {})
         for m in _TAG.finditer(page):
             begin, end = m.span()
             if begin > last:
@@ -91,38 +124,19 @@ class Reader:
                 if not text.isspace():
                     out.append((-1, here, html.unescape(text) if "&" in text else text))
             last = end
-            script, *parts = m.groups()
-            slash, name, rest = parts[:3] if parts[1] else parts[3:]
-            if script:
-                key, shown = f"{where}<{script.lower()}>", f"<{script.lower()}>"
-            elif not name:
-                continue
-            else:
-                name = name.lower()
-                if slash:
-                    if name in path and name not in _INLINE:
-                        while path.pop() != name:
-                            pass
-                        where = "/".join(path)
-                        here = self.path(where)
-                    key = shown = f"</{name}>"
-                    key = where + key
-                else:
-                    if name in _BLOCK and path and path[-1] == "p":
-                        path.pop()
-                        where = "/".join(path)
-                        here = self.path(where)
-                    found = _CLASS.search(rest) if rest else None
-                    shown = f"<{name}>"
-                    key = f"{where}<{name}.{found[1]}>" if found else where + shown
-                    if name not in _VOID and name not in _INLINE and not rest.rstrip().endswith("/"):
-                        path.append(name)
-                        where = "/".join(path)
-                        here = self.path(where)
-            v = self.tags.get(key)
-            if v is None:
-                v = self.tags[key] = xxhash.xxh3_64_intdigest(key) >> 2 << 1
-            out.append((v, here, shown))
+            raw = m[0]
+            move = moves.get(raw)
+            if move is None:
+                move = self.move(where, m)
+                if end - begin <= 64:
+                    moves[raw] = move
+                    self.met += 1
+            v, shown, after, at = move
+            if v >= 0:
+                out.append((v, at, shown))
+                if after != where:
+                    where, here = after, at
+                    moves = self.moves.setdefault(where, {})
         if last < len(page) and not page[last:].isspace():
             out.append((-1, here, html.unescape(page[last:])))
         return out
@@ -214,13 +228,23 @@ class Template:
                 out += zip(reader.word_ids(path, words), words)
         return out
 
-    def walk(self, reader: Reader, page: str) -> tuple[list[tuple[int, str, bool]], dict[int, list], set[int]]:
-        """Tags and what isn't template, with the slot they are in; of each class on the page whether its tokens are in order
-        and the least and greatest slot it is in; tokens of the frame that are out of order."""
+    def beside(self, tokens: list[tuple[int, str]]) -> dict[int, bool]:
+        """Of each word of the template on the page, whether it ever stands next to another token of the template."""
+        inside = [x if x in self.place else -1 for x, _ in tokens]
+        out: dict[int, bool] = {}
+        for k, x in enumerate(inside):
+            if x >= 0 and x & 1:
+                out[x] = out.get(x, False) or k > 0 and inside[k - 1] >= 0 or k + 1 < len(inside) and inside[k + 1] >= 0
+        return out
+
+    def walk(self, tokens: list[tuple[int, str]], ignored: set[int] | frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, bool]], dict[int, list], set[int]]:
+        """Tags and what isn't template, with the slot they are in; of each class on the page whether its tokens, but for ignored
+        ones, are in order and the least and greatest slot it is in; tokens of the frame that are out of order."""
         rest: list[tuple[int, str, bool]] = []
         seen: dict[int, list] = {}
         place, base, classes = self.place, self.base, self.classes
-        tokens = self.tokens(reader, page)
+        if ignored:
+            place = {t: m for t, m in place.items() if t not in ignored}
         frame = [k for k, (t, _) in enumerate(tokens) if t in place and place[t][0] == 0]
         wrong = {frame[k] for k in out_of_order([place[tokens[k][0]][1] for k in frame])}
         at, stack = 0, []
@@ -229,6 +253,11 @@ class Template:
             while len(stack) > upto:
                 seen[stack.pop()[0]][0] = False
 
+        def following(c: int, i: int) -> int:
+            while i < len(classes[c]) and classes[c][i] in ignored:
+                i += 1
+            return i
+
         for k, (t, shown) in enumerate(tokens):
             m = place.get(t)
             if m is not None:
@@ -240,23 +269,24 @@ class Template:
                 else:
                     slot = base[stack[-1][0]] + stack[-1][1] if stack else at
                     mine = next((x for x in range(len(stack) - 1, -1, -1) if stack[x][0] == c), -1)
-                    if i == 0:
+                    if i == following(c, 0):
                         if mine >= 0:
                             close(mine)
                             slot = base[stack[-1][0]] + stack[-1][1] if stack else at
                         s = seen.setdefault(c, [True, slot, slot])
                         s[1], s[2] = min(s[1], slot), max(s[2], slot)
-                        stack.append([c, 1])
+                        if following(c, i + 1) < len(classes[c]):
+                            stack.append([c, following(c, i + 1)])
                     elif mine < 0:
                         seen.setdefault(c, [True, slot, slot])[0] = False
                     else:
                         close(mine + 1)
                         if stack[-1][1] != i:
                             close(mine)
-                        elif i + 1 == len(classes[c]):
+                        elif following(c, i + 1) == len(classes[c]):
                             stack.pop()
                         else:
-                            stack[-1][1] = i + 1
+                            stack[-1][1] = following(c, i + 1)
             slot = base[stack[-1][0]] + stack[-1][1] if stack else at
             if m is None or not t & 1:
                 rest.append((slot, shown, t >= 0 and not t & 1))
@@ -305,8 +335,46 @@ def _different(h: DataFrame) -> DataFrame:
     return join_small(keyed, many, ["host", "k"], "left_anti").select("page_id", "host", "html").unionByName(copies)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the pages at hand, for each host and token; a row of token -1 counts the pages."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token, more): how many more pages of a block of the host's pages a token is on than the most that is too few there.
+
+    Rows of tokens -1 and -2 have that number and the number of pages. A token is on as many pages of the host as these
+    numbers come to, or fewer: in blocks that don't give it, it is on too few.
+    """
+    reader = Reader()
+    held: dict[str, list] = {}
+    size = 0
+
+    def send() -> Iterator[pa.RecordBatch]:
+        for host, (n, parts) in held.items():
+            few = max(0, int(np.ceil(SUPPORT * n - 1e-9)) - 1)
+            u, c = np.unique(np.concatenate(parts), return_counts=True)
+            token, more = np.r_[-1, -2, u[c > few]], np.r_[few, n, c[c > few] - few]
+            for a in range(0, len(token), 50_000):
+                t = token[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(t), pa.string()), pa.array(t), pa.array(more[a : a + 50_000])], ["host", "token", "more"])
+
+    for b in batches:
+        for page, host in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+            u = np.unique(np.array(reader.numbers(page), np.int64))
+            h = held.setdefault(host, [0, []])
+            h[0] += 1
+            h[1].append(u)
+            size += len(u)
+            if size >= BLOCK:
+                yield from send()
+                held, size = {}, 0
+                T.trim()
+    yield from send()
+
+
+def _enough(n):
+    """Pages that a token must be on."""
+    return F.least(n, F.greatest(F.lit(PAGES), F.ceil(SUPPORT * n - 1e-9)))
+
+
+def _count(source) -> Iterator[pa.RecordBatch]:
+    """Sums over the pages at hand, for each host and token asked for."""
     reader, names, known = Reader(), [], {}
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -317,14 +385,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(h), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(h[a : a + 50_000])), *(pa.array(x[a : a + 50_000]) for x in cols)], ["host", "token", "pages", "occ", "fp", "place", "once"])
 
-    for b in batches:
+    for b, rows in source:
         rand = page_random(b.column(0).to_numpy())
-        for page, host, r in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), rand):
-            if host not in known:
-                known[host] = len(names)
-                names.append(host)
-            u, place, c = np.unique(np.array([-1, *reader.numbers(page)], np.int64), return_index=True, return_counts=True)
-            held.append((np.full(len(u), known[host]), u, np.ones(len(u), np.int64), c, (c.astype(np.uint64) * r).view(np.int64), place, (c == 1).astype(np.int64)))
+        for page, row, r in zip(b.column(2).to_pylist(), rows, rand):
+            if row is None:
+                continue
+            if row.host not in known:
+                known[row.host] = len(names), np.sort(np.array(row.tokens, np.int64))
+                names.append(row.host)
+            host, asked = known[row.host]
+            u, place, c = np.unique(np.array(reader.numbers(page), np.int64), return_index=True, return_counts=True)
+            ok = asked[np.minimum(np.searchsorted(asked, u), len(asked) - 1)] == u
+            u, place, c = u[ok], place[ok], c[ok]
+            held.append((np.full(len(u), host), u, np.ones(len(u), np.int64), c, (c.astype(np.uint64) * r).view(np.int64), place, (c == 1).astype(np.int64)))
             size += len(u)
             if size >= HELD:
                 held[:] = [_added(*(np.concatenate(x) for x in zip(*held)))]
@@ -340,47 +413,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, frame, nested): tokens of the frame and of the valid classes, in order."""
     h = _different(_hosted(pages))
-    counted = h.mapInArrow(_count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
+    bound = cut(h.mapInArrow(_blocks, "host string, token bigint, more bigint").groupBy("host", "token").agg(F.sum("more").alias("more")))
+    per = bound.where("token < 0").groupBy("host").agg(F.sum(F.when(F.col("token") == -1, F.col("more"))).alias("few"), F.sum(F.when(F.col("token") == -2, F.col("more"))).alias("n"))
+    per = cut(per.where(F.col("n") >= TEMPLATED))
+    asked = join_small(bound.where("token >= 0"), per, "host").where(F.col("more") + F.col("few") >= _enough(F.col("n")))
+    frequent = cut(asked.groupBy("host").agg(F.collect_list("token").alias("tokens")))
+    counted = _by_host(h, frequent, _count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
     # sums wrap around: two halves are added apart and put together
     low, high = F.sum(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("fp", 32))
-    total = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once"))
-    total = cut(total.where(F.col("pages") >= min(TEMPLATED, PAGES)))
-    sizes = cut(total.where(f"token = -1 and pages >= {TEMPLATED}").select("host", F.col("pages").alias("n")))
+    total = cut(counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once")))
     fp = F.struct(F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
-    enough = F.least(F.col("n"), F.greatest(F.lit(PAGES), F.ceil(SUPPORT * F.col("n"))))
-    supported = join_small(total.where("token != -1"), sizes, "host").where(F.col("pages") >= enough)
+    supported = join_small(total, per.select("host", "n"), "host").where(F.col("pages") >= _enough(F.col("n")))
     whole = F.col("once") == F.col("n")
     is_frame = F.col("once") >= F.col("n") - F.floor(ODD * F.col("n"))
     # tokens of a class are on the same pages, so their mean first places are in the order that they have on the pages
     by_place = F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token)
     classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
     frames = F.sort_array(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frames")
-    found = cut(classes.groupBy("host", "n").agg(frames, F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
+    found = cut(classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
 
     def order(source) -> Iterator[pa.RecordBatch]:
-        """Pages on which a word of the template is, and those on which it stands next to no other token of it; the orders in
-        which the frame's tokens stand on the pages that have most of them."""
+        """The orders in which the frame's tokens stand on the pages that have most of them."""
         reader, known = Reader(), {}
         for b, rows in source:
             acc: dict[tuple[str, bytes], int] = {}
             most: dict[str, int] = {}
-            words: Counter[tuple[str, int, int]] = Counter()
             for page, row in zip(b.column(2).to_pylist(), rows):
-                if row is None:
+                if row is None or row.plain:
                     continue
                 if row.host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[row.host] = Template([t for c in row.frames for t in c], row.nested)
+                    known[row.host] = Template([t for c in row.frames for t in c], [])
                 t = known[row.host]
-                tokens = [x for x, _ in t.tokens(reader, page)]
-                inside = [x in t.place for x in tokens]
-                beside: dict[int, bool] = {}
-                for k, x in enumerate(tokens):
-                    if inside[k] and x & 1:
-                        beside[x] = beside.get(x, False) or k > 0 and inside[k - 1] or k + 1 < len(tokens) and inside[k + 1]
-                words.update((row.host, x, int(ok)) for x, ok in beside.items())
-                here = [x for k, x in enumerate(tokens) if inside[k] and t.place[x][0] == 0]
+                here = [x for x, _ in t.tokens(reader, page) if x in t.place]
                 times = Counter(here)
                 here = [x for x in here if times[x] == 1]
                 if len(here) >= most.get(row.host, 1):
@@ -388,43 +454,47 @@ def templates(pages: DataFrame) -> DataFrame:
                     key = row.host, np.array(here, np.int64).tobytes()
                     acc[key] = acc.get(key, 0) + 1
             keys = [k for k in acc if len(k[1]) == 8 * most[k[0]]]
-            lists = [np.frombuffer(k[1], np.int64).tolist() for k in keys]
-            columns = [[k[0] for k in keys] + [k[0] for k in words], [acc[k] for k in keys] + list(words.values()), lists + [None] * len(words), [None] * len(keys) + [k[1] for k in words], [None] * len(keys) + [bool(k[2]) for k in words]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()))], ["host", "times", "seq", "word", "beside"])
-
-    got = cut(_by_host(h, found, order, "host string, times bigint, seq array<bigint>, word bigint, beside boolean"))
-    best = got.where("seq is not null").groupBy("host", "seq").agg(F.sum("times").alias("times")).groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
-    alone = F.coalesce(F.sum(F.when(~F.col("beside"), F.col("times"))), F.lit(0))
-    lone = got.where("word is not null").groupBy("host", "word").agg(F.sum("times").alias("times"), alone.alias("alone")).where(F.col("alone") > F.floor(ODD * F.col("times"))).groupBy("host").agg(F.collect_list("word").alias("lone"))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([acc[k] for k in keys], pa.int64()), pa.array([np.frombuffer(k[1], np.int64).tolist() for k in keys], pa.list_(pa.int64()))], ["host", "times", "seq"])
+
     none = F.array().cast("array<bigint>")
-    kept = lambda c: F.array_except(c, F.coalesce("lone", none))
-    # a class that isn't on the page with most of the frame is one of the others
-    apart = F.filter("frames", lambda c: (F.size(c) >= LEAST) & F.col("seq").isNotNull() & ~F.array_contains(F.coalesce("seq", none), c[0]))
-    frame = F.coalesce("seq", F.flatten("frames"))
-    others = F.filter(F.transform(F.concat(apart, "nested"), kept), lambda c: F.size(c) >= LEAST)
-    ordered = cut(found.join(best, "host", "left").join(lone, "host", "left").select("host", "n", kept(frame).alias("frame"), others.alias("nested")))
+    ordered = found.select("host", "n", F.flatten("frames").alias("frame"), "nested")
+    if not found.where("not plain").isEmpty():
+        seen = _by_host(h, found.select("host", "plain", "frames"), order, "host string, times bigint, seq array<bigint>").groupBy("host", "seq").agg(F.sum("times").alias("times"))
+        best = seen.groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
+        # a class that isn't on the page with most of the frame is one of the others
+        apart = F.filter("frames", lambda c: (F.size(c) >= LEAST) & F.col("seq").isNotNull() & ~F.array_contains(F.coalesce("seq", none), c[0]))
+        ordered = found.join(best, "host", "left").select("host", "n", F.coalesce("seq", F.flatten("frames")).alias("frame"), F.concat(apart, "nested").alias("nested"))
+    ordered = cut(ordered)
 
     def check(source) -> Iterator[pa.RecordBatch]:
-        """Pages on which a frame token is out of order; those on which a class is in each slot, at -1 if out of order or in several."""
+        """Counts of pages: c = -1, a frame token (at) is out of order; -2 or -3, a word (at) stands alone or not; else the class
+        is in the slot at, -1 if out of order or in several."""
         reader, known = Reader(), {}
         for b, rows in source:
             acc: Counter[tuple[str, int, int]] = Counter()
             for page, row in zip(b.column(2).to_pylist(), rows):
                 if row is None:
                     continue
-                _, seen, late = _template(known, row).walk(reader, page)
+                t = _template(known, row)
+                tokens = t.tokens(reader, page)
+                beside = t.beside(tokens)
+                _, seen, late = t.walk(tokens, {x for x, ok in beside.items() if not ok})
                 acc.update((row.host, -1, x) for x in late)
+                acc.update((row.host, -3 if ok else -2, x) for x, ok in beside.items())
                 acc.update((row.host, c, lo if good and lo == hi else -1) for c, (good, lo, hi) in seen.items())
             keys = list(acc)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array([acc[k] for k in keys], pa.int64())], ["host", "c", "at", "pages"])
 
     checked = cut(_by_host(h, ordered, check, "host string, c bigint, at bigint, pages bigint").groupBy("host", "c", "at").agg(F.sum("pages").alias("pages")))
-    late = checked.where("c = -1").join(ordered.select("host", "n"), "host").where(F.col("pages") > F.floor(ODD * F.col("n"))).groupBy("host").agg(F.collect_list("at").alias("late"))
+    late = checked.where("c = -1").join(ordered.select("host", "n"), "host").where(F.col("pages") > F.floor(ODD * F.col("n"))).select("host", "at")
+    alone = F.coalesce(F.sum(F.when(F.col("c") == -2, F.col("pages"))), F.lit(0))
+    lone = checked.where("c in (-2, -3)").groupBy("host", "at").agg(alone.alias("alone"), F.sum("pages").alias("pages")).where(F.col("alone") > F.floor(ODD * F.col("pages"))).select("host", "at")
+    gone = late.unionByName(lone).groupBy("host").agg(F.collect_set("at").alias("gone"))
     per = checked.where("c > 0").groupBy("host", "c").agg(F.sum("pages").alias("pages"), F.max(F.when(F.col("at") >= 0, F.col("pages"))).alias("most"))
     valid = per.where(F.col("most") >= F.col("pages") - F.floor(ODD * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
-    frame = F.when(F.col("late").isNull(), F.col("frame")).otherwise(F.array_except("frame", "late"))
-    nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: F.get("nested", c - 1))
-    return cut(ordered.join(late, "host", "left").join(valid, "host", "left").select("host", frame.alias("frame"), nested.alias("nested")))
+    left = lambda c: F.array_except(c, F.coalesce("gone", none))
+    nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: left(F.get("nested", c - 1)))
+    return cut(ordered.join(gone, "host", "left").join(valid, "host", "left").select("host", left("frame").alias("frame"), F.filter(nested, lambda c: F.size(c) >= LEAST).alias("nested")))
 
 
 def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
@@ -437,7 +507,7 @@ def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
             for page_id, host, page, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), rows):
                 t = whole if row is None else _template(known, row)
                 slots: dict[int, list[str]] = {}
-                for g, w, is_tag in t.walk(reader, page)[0]:
+                for g, w, is_tag in t.walk(t.tokens(reader, page))[0]:
                     if is_tag:
                         if w.strip("</>") in _BLOCK and slots.get(g):
                             slots[g].append("\n")
