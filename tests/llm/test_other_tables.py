@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -237,6 +238,7 @@ def test_templates_joined_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(pages, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(pages, "HELD", 50)
+    monkeypatch.setattr(pages, "BLOCK", 50)
     assert slots_of(spark, table) == want and all(len(v) == 1 for v in want.values())
 
 
@@ -304,6 +306,61 @@ def test_pipeline_stage_by_stage(spark, folder, tmp_path):
     assert rows(c.run(spark, folder)) == rows(docs)
 
 
+def test_pipeline_against_brute_force(spark, folder):
+    """run() against slow versions of its stages, on documents with ids of their own; extra columns with clashing names."""
+    import corpus_pipeline as c
+    from weftlake.llm import decontaminate, packing, pii
+
+    from .test_models import brute_sample
+    from .test_text_ops import brute_classes, greedy, longest, token_counts, words
+
+    d = f"{folder}-unique"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null and doc_id != 5")
+    extra(docs).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.mode("overwrite").parquet(f"{d}/{t}.parquet")
+    rows_ = {r.doc_id: r.text for r in docs.collect()}
+    labels = [tuple(r) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    left = set(brute_sample([(i, t) for i, t in rows_.items() if t and t.strip()], labels))
+    assert 0 < len(left) < len(rows_)
+    group = {x[0]: x[1] for x in brute_classes([(i, rows_[i]) for i in sorted(left)])}
+    kept = {i for i in left if group.get(i, i) == i}
+    tests = [words(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    clean = {i for i in kept if not any(longest(words(rows_[i]), q)[0] >= min(decontaminate.LEAST, len(q)) for q in tests)}
+    assert len(clean) < len(kept) < len(left)
+    crf, first, rest, want = pii.model(), *map(set, token_counts.read_vocabulary()), {}
+    for i in clean:
+        tokens, text = rows_[i].split(), rows_[i]
+        tags = [pii.TAGS[k] for k in crf.decode(crf.emissions(tokens)[None], np.array([len(tokens)]))[0]]
+        for token, tag in zip(tokens, tags):
+            a, b = pii.core(token)
+            text = text.replace(token[a:b], f"[{tag[2:]}]") if tag[0] == "B" else text
+        pieces = re.findall(r"[^\W_]+|[^\w\s]|_", text)
+        want[i] = sum(greedy(w, first, rest) for w in pieces)
+    bins = c.run(spark, d).collect()
+    got, size = {}, {}
+    for x in bins:
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.n_tokens
+        size[x.bin_id] = size.get(x.bin_id, 0) + x.n_tokens
+    assert got == want and max(size.values()) <= packing.CAPACITY
+    lengths = np.array([n for i in sorted(want) for n in [packing.CAPACITY] * (want[i] // packing.CAPACITY) + [want[i] % packing.CAPACITY] if n])
+    assert sorted(size.values()) == sorted(sum(int(lengths[i]) for i in b) for b in packing.pack(lengths))
+
+
+def test_bins_depend_on_the_table_only(spark, docs):
+    from weftlake.llm import packing
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in (2, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(rows(packing.pack_documents(docs.repartition(n))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
 def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     import corpus_pipeline as c
 

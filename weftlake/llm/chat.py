@@ -31,7 +31,8 @@ def chat_texts(conversations: DataFrame) -> DataFrame:
 
     Rows with a null conv_id are left out. A null role is "unknown" (roles are trimmed and lower-cased), a null text is
     empty, a null turn comes last; turns of one number are ordered by role and hash of text; repeated rows are one turn.
-    "<|" inside a text becomes "< |", so that no text can forge a turn. Other columns are ignored.
+    "<|" inside a text becomes "< |", so that no text can forge a turn. Texts of any length are kept whole: a conversation is one
+    row, so it takes memory in proportion to its own text. An empty table gives no row. Other columns are ignored.
     """
     turns = conversations.where("conv_id is not null").select("conv_id", "turn", F.lower(F.trim(F.coalesce("role", F.lit("unknown")))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kept = turns.join(cut(maximal(turns)), "conv_id")

@@ -122,12 +122,12 @@ def _best(doc: np.ndarray, item: np.ndarray, length: np.ndarray, at: np.ndarray,
 
 def _slices(benchmark: DataFrame, least: int) -> Iterator:
     """The items, broadcast in as many slices as their size asks for; each slice is searched in a scan of its own."""
-    tests = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    tests = benchmark.where("text is not null").select("item_id", "text").distinct()
     estimate = plan_bytes(benchmark)
     turns = max(1, -(-4 * estimate // ITEMS)) if estimate < 1 << 60 else 1
     for turn in range(turns):
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text").toArrow()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items(rows["item_id"].to_numpy(), rows["text"].combine_chunks(), least))
+        rows = tests.where(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn).orderBy("item_id", "text").toArrow()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(rows["item_id"].fill_null(0).to_numpy(), rows["text"].combine_chunks(), least))
 
 
 def _ended(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,10 +140,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
 
     Null and empty texts have no words and match nothing; rows with a null doc_id or item_id are left out. Of matches of
     one length the first in the document, then in the item, is given. Repeated ids count as one document or item with
-    several texts. Other columns are ignored.
+    several texts. Texts and items of any length are searched whole, in memory in proportion to their words. An empty table, of
+    documents or items, gives no row. Other columns are ignored.
     """
     out = None
-    for items in _slices(benchmark, least):
+    for items in _slices(benchmark.where("item_id is not null"), least):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             test, words, rest, size = items.value, [], [], 0
@@ -180,7 +181,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows whose text matches no benchmark item, with all their columns, in one scan and without a shuffle.
 
-    Each row is judged by its own text, so a null doc_id makes no difference; null and empty texts stay.
+    Each row is judged by its own text and each item by its own, so null ids make no difference; null and empty texts stay,
+    null and empty items match nothing. Equal rows stay or go together. Texts of any length are searched whole. Empty tables are allowed.
     """
     at, schema = docs.columns.index("text"), docs.schema
     for items in _slices(benchmark, least):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .blobs import BLOBS, emit, got_by_kind, together
 from .cluster import cut, documents, join_small, parts
 
 N, THRESHOLD = 4, 0.4
@@ -113,43 +114,6 @@ class Lists:
         return found[ok], count[ok]
 
 
-def _emit(kind: int, part: np.ndarray, p: int, columns: list[np.ndarray], owner: tuple[np.ndarray, ...] | None = None) -> Iterator[pa.RecordBatch]:
-    """One row for each part that occurs: its number, the kind, and the bytes of four columns. With an owner (index of each
-    entry, ids, needs), the index is made local to the part, and the ids and needs of those that occur are sent once."""
-    if not len(part):
-        return
-    order = np.argsort(part.astype(np.uint16) if p < 1 << 16 else part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(p + 1))
-    sent = [np.ascontiguousarray(c[order]) for c in columns]
-    at = owner[0][order] if owner else None
-    rows: list[tuple] = []
-    for k in np.flatnonzero(np.diff(edges)):
-        a, b = edges[k], edges[k + 1]
-        row = [c[a:b].tobytes() for c in sent]
-        if owner:
-            seen = np.zeros(len(owner[1]), bool)
-            seen[at[a:b]] = True
-            row += [(np.cumsum(seen) - 1)[at[a:b]].astype(np.uint16).tobytes(), owner[1][seen].tobytes(), owner[2][seen].tobytes()]
-        rows.append((int(k), kind, *row, *[None] * (4 - len(row))))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "kind", "c0", "c1", "c2", "c3"])
-
-
-_BLOBS = "part int, kind int, c0 binary, c1 binary, c2 binary, c3 binary"
-
-
-def _got(batches: Iterator[pa.RecordBatch], kinds: dict[int, list]) -> dict[int, list[list[np.ndarray]]]:
-    """By kind, the columns of each row that has come."""
-    out: dict[int, list[list[np.ndarray]]] = {k: [] for k in kinds}
-    for b in batches:
-        for r, kind in enumerate(b.column(1).to_pylist()):
-            out[kind].append([np.frombuffer(b.column(c + 2)[r].as_buffer(), t) for c, t in enumerate(kinds[kind])])
-    return out
-
-
-def _together(rows: list[list[np.ndarray]], types: list) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, t) for t in types]
-
-
 def shared_grams(rows: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     """(document, leader, grams that the two share first, grams needed) from the entries (gram, owner, ids, needs) of some
     inverted lists; grams of one document alone don't count."""
@@ -230,36 +194,36 @@ def _meet(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         sizes = np.array([len(g) for g, _ in held.values()])
         need = np.array([max(1, ceil(threshold * k - 1e-9)) for k in sizes], np.uint32)
         g = np.concatenate([g for g, _ in held.values()])
-        yield from _emit(0, ((g >> np.uint64(40)) % np.uint64(p)).astype(np.int64), p, [g.astype(np.uint32)], (np.repeat(np.arange(len(sizes)), sizes), least, need))
+        yield from emit(0, ((g >> np.uint64(40)) % np.uint64(p)).astype(np.int64), p, [g.astype(np.uint32)], (np.repeat(np.arange(len(sizes)), sizes), least, need))
         h = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
-        yield from _emit(1, (h[:, 0] % np.uint64(p)).astype(np.int64), p, [h[:, 0], h[:, 1], least])
+        yield from emit(1, (h[:, 0] % np.uint64(p)).astype(np.int64), p, [h[:, 0], h[:, 1], least])
         copies = [(d, m) for (_, ids), m in zip(held.values(), least.tolist()) for d in set(ids) if d != m]
         doc, twin = (np.array(x, np.int64) for x in zip(*copies)) if copies else (np.zeros(0, np.int64),) * 2
-        yield from _emit(2, hashed(doc), p, [doc, twin])
+        yield from emit(2, hashed(doc), p, [doc, twin])
 
     def step2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _got(batches, {0: [np.uint32, np.uint16, np.int64, np.uint32], 1: [np.uint64, np.uint64, np.int64], 2: [np.int64, np.int64]})
+        got = got_by_kind(batches, {0: [np.uint32, np.uint16, np.int64, np.uint32], 1: [np.uint64, np.uint64, np.int64], 2: [np.int64, np.int64]})
         if got[0]:
             found = shared_grams(got[0])
-            yield from _emit(0, hashed(found[0]), p, list(found))
-        a, b, doc = _together(got[1], [np.uint64, np.uint64, np.int64])
+            yield from emit(0, hashed(found[0]), p, list(found))
+        a, b, doc = together(got[1], [np.uint64, np.uint64, np.int64])
         if len(doc):
             order = np.lexsort((doc, b, a))
             a, b, doc = a[order], b[order], doc[order]
             head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            yield from _emit(1, hashed(doc), p, [doc, doc[np.flatnonzero(head)][np.cumsum(head) - 1]])
-        doc, twin = _together(got[2], [np.int64, np.int64])
-        yield from _emit(2, hashed(doc), p, [doc, twin])
+            yield from emit(1, hashed(doc), p, [doc, doc[np.flatnonzero(head)][np.cumsum(head) - 1]])
+        doc, twin = together(got[2], [np.int64, np.int64])
+        yield from emit(2, hashed(doc), p, [doc, twin])
 
     def step3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _got(batches, {0: [np.int64, np.int64, np.uint32, np.uint32], 1: [np.int64, np.int64], 2: [np.int64, np.int64]})
-        doc, begin, leaders, need = leaders_of(*_together(got[0], [np.int64, np.int64, np.uint32, np.uint32]))
-        one, least = _together(got[1], [np.int64, np.int64])
+        got = got_by_kind(batches, {0: [np.int64, np.int64, np.uint32, np.uint32], 1: [np.int64, np.int64], 2: [np.int64, np.int64]})
+        doc, begin, leaders, need = leaders_of(*together(got[0], [np.int64, np.int64, np.uint32, np.uint32]))
+        one, least = together(got[1], [np.int64, np.int64])
         alive = np.isin(doc, one[one == least])  # the least document of one of its sets
         lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(leaders)).filter(pa.array(alive))
         weight = (need[alive] / threshold).astype(np.int64)
         doc = doc[alive]
-        copy, twin = _together(got[2], [np.int64, np.int64])
+        copy, twin = together(got[2], [np.int64, np.int64])
         other = one != least
         copy, twin = np.r_[copy, one[other]], np.r_[twin, least[other]]
         nulls = lambda k, t: pa.nulls(k, t)
@@ -267,7 +231,7 @@ def _meet(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(copy), nulls(len(copy), pa.list_(pa.int64())), nulls(len(copy), pa.int64()), pa.array(twin)], ["doc_id", "leaders", "weight", "twin"])
 
     spread = lambda df: df.repartitionById(p, "part")
-    return cut(spread(spread(docs.mapInArrow(step1, _BLOBS)).mapInArrow(step2, _BLOBS)).mapInArrow(step3, "doc_id bigint, leaders array<bigint>, weight bigint, twin bigint"))
+    return cut(spread(spread(docs.mapInArrow(step1, BLOBS)).mapInArrow(step2, BLOBS)).mapInArrow(step3, "doc_id bigint, leaders array<bigint>, weight bigint, twin bigint"))
 
 
 class Forest:

@@ -4,7 +4,8 @@ Suffixes start in buckets of equal 16-grams. A bucket is refined by the bucket i
 gives buckets of 32 words, and those, reused at 18 words on, give buckets of 50. Identifiers are hashes of what the
 bucket's suffixes begin with, so they mean the same on every executor and no global sort is needed. Each 50-word window
 is looked after by the least 16-gram in it, the same one in every copy; only such anchors are exchanged at first, and a
-suffix whose anchor's bucket has one member is finished. What remains is sorted by the refined identifier.
+suffix whose anchor's bucket has one member is finished. What remains is sorted by the refined identifier. Members of a
+bucket that a task has at hand are settled there, and one of them is sent for all, so no bucket grows with its copies.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .blobs import BLOBS, emit, got_by_kind, together
 from .cluster import cut, documents, parts
 
 LENGTH, Q = 50, 16
@@ -57,34 +59,22 @@ def window_ids(g: np.ndarray) -> np.ndarray:
     return refine(refine(g, Q), LENGTH - 2 * Q)
 
 
-def _blob(part: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row for each part that occurs: its number and the columns' bytes."""
-    if not len(part):
-        return
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(n + 1))
-    used = np.flatnonzero(np.diff(edges))
-    arrays = [pa.array(used.astype(np.int32))]
-    for c in columns:
-        c = np.ascontiguousarray(c[order])
-        arrays.append(pa.array([c[edges[k] : edges[k + 1]].tobytes() for k in used], pa.binary()))
-    yield pa.RecordBatch.from_arrays(arrays, ["part", *(f"c{k}" for k in range(len(columns)))])
+def local_groups(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the distinct (key, document, place) are, in this order; which are the first of their key, and which share it with another."""
 
+    def shared(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = k[1:] == k[:-1]
+        return (np.r_[True, ~same], np.r_[same, False] | np.r_[False, same]) if len(k) else (same, same)
 
-def _unblob(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
-    got: list[list[np.ndarray]] = [[] for _ in kinds]
-    for b in batches:
-        for k, kind in enumerate(kinds):
-            got[k] += [np.frombuffer(v.as_buffer(), kind) for v in b.column(k + 1)]
-    return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(got, kinds)]
-
-
-def _schema(n: int) -> str:
-    return "part int, " + ", ".join(f"c{k} binary" for k in range(n))
-
-
-def _spread(df: DataFrame, n: int) -> DataFrame:
-    return df.repartitionById(n, "part")
+    order = np.argsort(key)
+    some = np.flatnonzero(shared(key[order])[1])
+    o = order[some]
+    order[some] = o[np.lexsort((at[o], doc[o], key[o]))]
+    new = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (key[a] != key[b]) | (doc[a] != doc[b]) | (at[a] != at[b])
+    order = order[new]
+    return order, *shared(key[order])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -92,10 +82,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     A row for each span: its words from start_word to before end_word, and how many of them dedup removes: those of windows
     of which an equal one comes earlier (by doc_id, then place). Null, empty and short texts have no window; rows with a null
-    doc_id are left out; rows repeated with one doc_id are one occurrence. Other columns are ignored.
+    doc_id are left out; rows repeated with one doc_id are one occurrence. Texts of any length are read whole, in memory in
+    proportion to their words. An empty table gives no row. Other columns are ignored.
     """
     n = parts(docs)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
+    part = lambda key: ((key >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    of_doc = lambda doc: (T.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    spread = lambda df: df.repartitionById(n, "part")
 
     def step1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -118,18 +112,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def send1(held: list) -> Iterator[pa.RecordBatch]:
         if held:
             g, doc, at = (np.concatenate(x) for x in zip(*held))
-            yield from _blob((g >> np.uint64(20)) % np.uint64(n), n, [g, doc, at])
+            order, first, many = local_groups(g, doc, at)
+            k, m = np.sort(order[first]), np.sort(order[many])  # as they came: so documents and places compress well
+            yield from emit(0, part(g[k]), n, [g[k], doc[k], at[k]])
+            yield from emit(1, of_doc(doc[m]), n, [doc[m], at[m]])
 
     def step2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, doc, at = _unblob(batches, [np.uint64, np.int64, np.int32])
-        order = np.lexsort((at, doc, g))
-        g, doc, at = g[order], doc[order], at[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        g, doc, at = g[new], doc[new], at[new]
-        same = g[1:] == g[:-1]
-        many = np.r_[same, False] | np.r_[False, same] if len(g) else same
-        doc, at = doc[many], at[many]
+        got = got_by_kind(batches, {0: [np.uint64, np.int64, np.int32], 1: [np.int64, np.int32]})
+        g, doc, at = together(got[0], [np.uint64, np.int64, np.int32])
+        order, _, many = local_groups(g, doc, at)
+        doc, at = (np.r_[x[order[many]], y] for x, y in zip((doc, at), together(got[1], [np.int64, np.int32])))
         order = np.argsort(doc, kind="stable")
         doc, at = doc[order], at[order]
         edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
@@ -138,7 +130,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             pairs = list(zip(edge[k : k + 10_000], stop[k : k + 10_000]))
             yield pa.RecordBatch.from_arrays([pa.array(doc[edge[k : k + 10_000]]), pa.array([at[x:y].tobytes() for x, y in pairs], pa.binary())], ["doc_id", "at"])
 
-    first_round = _spread(texts.mapInArrow(step1, _schema(3)), n).mapInArrow(step2, "doc_id bigint, at binary")
+    first_round = spread(texts.mapInArrow(step1, BLOBS)).mapInArrow(step2, "doc_id bigint, at binary")
     live = cut(first_round.groupBy("doc_id").agg(F.collect_list("at").alias("live")))
 
     def step3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +149,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         alive[p[p < len(g)]] = True
                 ok = alive[anchor]
                 text, start, anchor = text[ok], start[ok], anchor[ok]
-                held.append((g[anchor], window_ids(g)[start], ids[i + text], (start - first[text]).astype(np.int32)))
+                held.append((window_ids(g)[start], ids[i + text], (start - first[text]).astype(np.int32)))
                 size += len(start)
                 if size >= FLUSH:
                     yield from send3(held)
@@ -166,19 +158,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def send3(held: list) -> Iterator[pa.RecordBatch]:
         if held:
-            g, w, doc, at = (np.concatenate(x) for x in zip(*held))
-            yield from _blob((g >> np.uint64(20)) % np.uint64(n), n, [w, doc, at])
+            w, doc, at = (np.concatenate(x) for x in zip(*held))
+            order, first, many = local_groups(w, doc, at)
+            k, m = np.sort(order[first]), np.sort(order[~first])
+            twice = np.zeros(len(w), bool)
+            twice[order[many]] = True
+            yield from emit(0, part(w[k]), n, [w[k], doc[k], at[k], twice[k]])
+            yield from emit(1, of_doc(doc[m]), n, [doc[m], at[m]])
 
     def step4(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, doc, at = _unblob(batches, [np.uint64, np.int64, np.int32])
-        order = np.lexsort((at, doc, w))
-        w, doc, at = w[order], doc[order], at[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        w, doc, at = w[new], doc[new], at[new]
-        later = np.r_[False, w[1:] == w[:-1]] if len(w) else np.zeros(0, bool)
-        many = later | np.r_[later[1:], False] if len(w) else later
-        doc, at, later = doc[many], at[many], later[many]
+        got = got_by_kind(batches, {0: [np.uint64, np.int64, np.int32, np.bool_], 1: [np.int64, np.int32]})
+        w, doc, at, more = together(got[0], [np.uint64, np.int64, np.int32, np.bool_])
+        known = np.unique(w[more])  # windows that some task has seen twice
+        order, first, many = local_groups(w, doc, at)
+        many |= np.isin(w[order], known)
+        doc, at, later = doc[order[many]], at[order[many]], ~first[many]
+        more_doc, more_at = together(got[1], [np.int64, np.int32])
+        doc, at, later = np.r_[doc, more_doc], np.r_[at, more_at], np.r_[later, np.ones(len(more_doc), bool)]
         order = np.lexsort((at, doc))
         doc, at, later = doc[order], at[order], later[order]
         if not len(doc):
@@ -186,11 +182,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         head = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (later[1:] != later[:-1])]
         tail = np.r_[head[1:], True]
         lo, hi = at[head], at[tail]
-        part = T.mix(doc[head].view(np.uint64)) % np.uint64(n)
-        yield from _blob(part, n, [doc[head], lo, hi, later[head]])
+        yield from emit(0, of_doc(doc[head]), n, [doc[head], lo, hi, later[head]])
 
     def step5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, lo, hi, later = _unblob(batches, [np.int64, np.int32, np.int32, np.bool_])
+        kinds = [np.int64, np.int32, np.int32, np.bool_]
+        doc, lo, hi, later = together(got_by_kind(batches, {0: kinds})[0], kinds)
         order = np.lexsort((lo, doc))
         doc, lo, hi, later = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64) + LENGTH, later[order]
         if not len(doc):
@@ -209,9 +205,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cols = [doc[head], *((x).astype(np.int32) for x in (a[head] - base, end - base, end - a[head], gone))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in SPANS.split(", ")])
 
-    windows = texts.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(step3, _schema(3))
-    runs = _spread(windows, n).mapInArrow(step4, _schema(4))
-    return _spread(runs, n).mapInArrow(step5, SPANS)
+    windows = texts.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(step3, BLOBS)
+    runs = spread(windows).mapInArrow(step4, BLOBS)
+    return spread(runs).mapInArrow(step5, SPANS)
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
