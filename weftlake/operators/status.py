@@ -28,7 +28,11 @@ def statuses(nodes: DataFrame, results: DataFrame, modified: DataFrame) -> DataF
 
     A success is outdated if its file (file_path, modified_at) is newer; without a time of completion it is as of now.
     """
-    n = nodes.select("unique_id", "file_path", ids.graph_id(F.col("unique_id")).alias("key")).join(lookup(results), "key", "left").join(modified.select("file_path", "modified_at"), "file_path", "left")
+    n = nodes.select("unique_id", "file_path", ids.graph_id(F.col("unique_id")).alias("key"))
+    # nodes without a file would all be sent to one task by the join
+    without = n.where("file_path is null").withColumn("modified_at", F.lit(None).cast(modified.schema["modified_at"].dataType))
+    n = n.where("file_path is not null").join(modified.select("file_path", "modified_at"), "file_path", "left").unionByName(without)
+    n = n.join(lookup(results), "key", "left")
     good, bad, skipped = F.col("result").isin("success", "pass"), F.col("result").isin("error", "fail"), F.col("result").isin("skipped", "skip")
     done = F.coalesce("completed_at", F.current_timestamp())
     old = good & (F.col("modified_at") > done)
