@@ -4,7 +4,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from weftlake.operators import status
+from weftlake import runtime
+from weftlake.operators import explore, status, traverse
 from weftlake.schemas import NODES
 
 
@@ -30,3 +31,27 @@ def test_nodes_without_a_file_are_not_one_tasks(spark):
         got = status.statuses(nodes, results, modified)
         assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
         assert {r.status: r.n for r in got.groupBy("status").agg(F.count("unique_id").alias("n")).collect()} == {"outdated": 1, "success": 199, "never_run": 200}
+
+
+def test_nearest_and_neighbours_without_a_layer_in_one_task(spark):
+    rows = [(f"a{i:03}", 0, i) for i in range(300)] + [("b0", 1, 0), ("b1", 1, 1)] + [("c", 2, 5)]
+    p = spark.createDataFrame(rows, "unique_id string, layer int, pos int")
+    with settings(spark):
+        right = explore.nearest(p)
+        assert right.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+        assert {r.unique_id: r.nearest for r in right.collect()} == {f"a{i:03}": "b0" if i == 0 else "b1" for i in range(300)} | {"b0": "c", "b1": "c"}
+        assert {r.unique_id: r.nearest for r in explore.nearest(p, "left").collect()} == {"b0": "a000", "b1": "a001", "c": "b1"}
+        beside = explore.layer_neighbours(p)
+        assert beside.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+        got = {r.unique_id: (r.before, r.after) for r in beside.collect()}
+        assert got["a000"] == ("a299", "a001") and got["a299"] == ("a298", "a000") and got["b0"] == ("b1", "b1") and got["c"] == ("c", "c") and len(got) == 303
+
+
+def test_edges_in_buckets_arent_exchanged_again(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(3)], "src string, dst string")
+    with settings(spark):
+        e = runtime.cut(edges, by="src")
+        ids = e.select("src").distinct()
+        plan = e.join(ids.hint("shuffle_hash"), "src", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan
+        assert {r.unique_id: r.layer for r in traverse.layers(e.selectExpr("src as unique_id"), e).collect()} == {f"n{i}": i for i in range(4)}
