@@ -146,4 +146,6 @@ def manifest_edges(manifest: DataFrame) -> DataFrame:
 
 
 def from_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges. The parsed manifest is written, since seven parts are read from it and each would parse the JSON again."""
+    manifest = cut(manifest)
     return manifest_nodes(manifest), manifest_edges(manifest)
