@@ -44,8 +44,10 @@ def node_diff(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def edge_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """(src, dst, edge_type, status): edges that one side alone has."""
-    b, h = edge_set(base), edge_set(head)
-    return h.subtract(b).withColumn("status", F.lit("added")).unionByName(b.subtract(h).withColumn("status", F.lit("removed")))
+    key = ["src", "dst", "edge_type"]
+    one = lambda df, b, h: df.select(*key, F.lit(b).alias("b"), F.lit(h).alias("h"))
+    both = one(base, 1, 0).unionByName(one(head, 0, 1)).groupBy(*key).agg(F.max("b").alias("b"), F.max("h").alias("h"))  # exchanged once
+    return both.where("b != h").select(*key, F.when(F.col("h") == 1, "added").otherwise("removed").alias("status"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
