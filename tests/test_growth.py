@@ -5,8 +5,9 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from weftlake import runtime
-from weftlake.operators import explore, status, traverse
-from weftlake.schemas import NODES
+from weftlake.operators import build, diff, explore, status, traverse
+from weftlake.schemas import EDGES, NODES
+from weftlake.sources import artifacts
 
 
 @contextmanager
@@ -55,3 +56,15 @@ def test_edges_in_buckets_arent_exchanged_again(spark):
         plan = e.join(ids.hint("shuffle_hash"), "src", "left_semi")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort " not in plan
         assert {r.unique_id: r.layer for r in traverse.layers(e.selectExpr("src as unique_id"), e).collect()} == {f"n{i}": i for i in range(4)}
+
+
+def test_a_manifest_is_parsed_once_and_edges_of_two_versions_are_exchanged_once(spark):
+    text = '{"nodes": {"model.s.a": {"unique_id": "model.s.a", "name": "a", "resource_type": "model"}}}'
+    nodes, edges = build.from_manifest(artifacts.parse_manifest(spark, text))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan(nodes) + plan(edges) and nodes.first().unique_id == "model.a"
+    a, b = (spark.createDataFrame(rows, EDGES) for rows in ([("x", "y", "ref"), ("x", "y", "ref"), ("p", "q", None)], [("x", "z", "ref"), ("p", "q", None)]))
+    with settings(spark):
+        found = diff.edge_diff(a, b)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {tuple(r) for r in found.collect()} == {("x", "z", "ref", "added"), ("x", "y", "ref", "removed")}
