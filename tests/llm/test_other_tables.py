@@ -1,10 +1,13 @@
 """Operators over conversations, embeddings and pages; the pipeline."""
 
+import html
 import json
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftlake.llm import chat, pages, vectors
@@ -375,3 +378,91 @@ def test_registry_has_a_query_for_each_operator():
     names = e.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
     assert json.dumps(sorted(e.oracle_sql())) and set(e.oracle_sql()) <= set(names)
+
+
+def wordy(r, n):
+    """Batches of (page_id, host, html): a menu and words that are on one page each, entities, texts that are empty once decoded."""
+    table = []
+    for i in range(n):
+        own = " ".join(f"w{r.randrange(10**9)}" for _ in range(30))
+        table.append((i, f"h{i % 2}", f"<html><nav>Menu &amp; more &copy; <b>&nbsp;</b></nav><p>{own} see {prose(r, 3)} menu</p><p>{own[:20]} Menu more more</p><div>{own}</div>&amp;lt; &#32; bye"))
+    return [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*table[a : a + 7])], ["page_id", "host", "html"]) for a in range(0, n, 7)], table
+
+
+def blocks_of(batches):
+    return [tuple(x.values()) for b in pages._blocks(iter(batches)) for x in b.to_pylist()]
+
+
+def test_only_words_on_enough_pages_are_hashed(monkeypatch):
+    """Of 60 pages with 30 words of their own each, the words of the menu are hashed when tokens are counted, the others aren't."""
+    batches, _ = wordy(random.Random(35), 60)
+    hashed, of = [], pages.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(pages.xxhash, "xxh3_64_intdigest", lambda *x: hashed.append(x) or of(*x))
+    blocks_of(batches)
+    assert not [x for x in hashed if str(x[0])[:1] == "w"] and any(x[0] == "Menu" for x in hashed)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_tokens_that_can_be_on_enough_pages_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(pages, "BLOCK", block)
+    batches, table = wordy(random.Random(36), 60)
+    numbers = [pages.Reader().numbers(t) for _, _, t in table]
+    got = blocks_of(batches)
+    for host in ("h0", "h1"):
+        few, n = (sum(m for h, t, _, m in got if h == host and t == k) for k in (-1, -2))
+        bound = {}
+        for h, t, w, m in got:
+            if h == host and t >= 0:
+                bound[t] = bound.get(t, 0) + m
+                assert (w is not None) == t & 1 and (w is None or t == pages.word_id(t >> 44, w))
+        assert n == 30
+        for t in {t for x in numbers for t in x}:
+            on = sum(t in x for x, row in zip(numbers, table) if row[1] == host)
+            assert on <= bound.get(t, 0) + few
+            assert block == 100 or bound.get(t, 0) == max(0, on - few)
+
+
+def test_counts_of_tokens_asked_for_against_all_tokens(monkeypatch):
+    monkeypatch.setattr(pages, "HELD", 200)
+    batches, table = wordy(random.Random(37), 60)
+    asked = {h: [(t, w) for x, t, w, m in blocks_of(batches) if x == h and t >= 0] for h in ("h0", "h1")}
+    row = {h: SimpleNamespace(host=h, tags=[t for t, w in x if w is None], names=[t for t, w in x if w], words=" ".join(w for _, w in x if w)) for h, x in asked.items()}
+    got = {}
+    for b in pages._count((b, [row[h] for h in b.column(1).to_pylist()]) for b in batches):
+        for host, word, token, *sums in b.to_pandas().itertuples(index=False):
+            assert (token, word) in asked[host]
+            got[host, token] = [(x + y) % 2**64 for x, y in zip(got.get((host, token), [0] * 5), sums)]
+    for host in asked:
+        mine = [x for x in table if x[1] == host]
+        t, *sums = pages.vectors([x[2] for x in mine], np.array([x[0] for x in mine]))
+        names = {t for t, _ in asked[host]}
+        assert {k: [int(x) % 2**64 for x in v] for k, *v in zip(t.tolist(), *sums) if k in names} == {t: v for (h, t), v in got.items() if h == host}
+
+
+def test_words_that_are_not_template_go_together():
+    """Tokens, words beside others and walks, against every word of a path with words of the template as a token of its own."""
+    r = random.Random(38)
+    for _, _, text in wordy(r, 40)[1]:
+        reader = pages.Reader()
+        items = reader.items(text)
+        word = {pages.word_id(p, v): v for n, p, w in items if n < 0 for v in w.split()}
+        tokens = r.sample(sorted(word), 6) + r.sample(sorted({n for n, _, _ in items if n >= 0}), 6)
+        r.shuffle(tokens)
+        names = [t for t in tokens if t & 1]
+        t = pages.Template(tokens[:5], [tokens[5:8], tokens[8:]], names, " ".join(word[x] for x in names))
+        paths = {x >> 44 for x in names}
+        alone = [x for n, p, w in items for x in ([(pages.word_id(p, v), v) for v in w.split()] if n < 0 and p in paths else [(n, w)])]
+        got = t.tokens(reader, text)
+        assert len(got) < len(alone) and t.beside(got) == t.beside(alone)
+        words = lambda found: [(x[0], v) for x in found for v in x[1].split()]
+        assert words((n if n in t.place or not n & 1 else -1, w) for n, w in got) == words((n if n in t.place or not n & 1 else -1, w) for n, w in alone)
+        for ignored in (set(), set(names[:3])):
+            (rest, *others), (want, *same) = t.walk(got, ignored), t.walk(alone, ignored)
+            assert words(rest) == words(want) and others == same
+
+
+def test_entities_are_decoded_as_html_does():
+    r = random.Random(39)
+    for _ in range(2000):
+        text = "".join(r.choice(["&", "amp", ";", "&amp;", "&amp;", "lt", "#38", "&nbsp;", "x", " "]) for _ in range(r.randint(0, 9)))
+        assert pages.decoded(text) == html.unescape(text)

@@ -8,7 +8,8 @@ order wherever it occurs and all its occurrences on a page lie in one gap of one
 valid classes are nested in each other, and every gap of a class is a slot. What stands in the slots and is not template is
 extracted. Vectors are never gathered: each is a 64-bit sum over pages of counts times a random number of the page, and
 tasks add up what they have seen of any host, so pages aren't exchanged and no host is too large. Counted are the tokens that
-can be on enough pages, by bounds that blocks of pages give; none that is on enough is left out.
+can be on enough pages, by bounds that blocks of pages give; none that is on enough is left out. Only these words are hashed;
+they go along with their numbers, so all other text is only split and looked up.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ TEMPLATED = 2
 SUPPORT, PAGES, LEAST = 0.1, 3, 2
 #: Share of pages on which a class, a word or a token of the frame may fail: error pages, truncated ones.
 ODD = 0.05
-#: Tokens of a block of pages, and those whose counts a task adds up before it gives them on.
-BLOCK, HELD = 1 << 22, 300_000
+#: Different tokens of a block of pages, by host, and those whose counts a task adds up before it gives them on.
+BLOCK, HELD = 1 << 20, 300_000
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?""",
     re.S | re.I,
@@ -56,8 +58,6 @@ class Reader:
         self.paths: dict[str, int] = {}
         self.moves: dict[str, dict[str, tuple[int, str, str, int]]] = {}
         self.met = 0
-        self.words: dict[int, dict[str, int]] = {}
-        self.known = 0
 
     def path(self, where: str) -> int:
         v = self.paths.get(where)
@@ -65,15 +65,6 @@ class Reader:
             v = self.paths[where] = xxhash.xxh3_64_intdigest(where) >> 45
         return v
 
-    def word_ids(self, path: int, words: list[str]) -> list[int]:
-        known = self.words.get(path)
-        if known is None:
-            if self.known > 300_000:
-                self.words.clear()
-                self.known = 0
-            known = self.words[path] = _Words(self, path)
-        return list(map(known.__getitem__, words))
-
     def move(self, where: str, m: re.Match) -> tuple[int, str, str, int]:
         """Number of a tag that is met at a path (-1: it is none), what is shown of it, and the path after it with its hash.
 
@@ -122,7 +113,7 @@ class Reader:
             if begin > last:
                 text = page[last:begin]
                 if not text.isspace():
-                    out.append((-1, here, html.unescape(text) if "&" in text else text))
+                    out.append((-1, here, decoded(text) if "&" in text else text))
             last = end
             raw = m[0]
             move = moves.get(raw)
@@ -138,7 +129,7 @@ class Reader:
                     where, here = after, at
                     moves = self.moves.setdefault(where, {})
         if last < len(page) and not page[last:].isspace():
-            out.append((-1, here, html.unescape(page[last:])))
+            out.append((-1, here, decoded(page[last:])))
         return out
 
     def numbers(self, page: str) -> list[int]:
@@ -148,18 +139,17 @@ class Reader:
             if v >= 0:
                 out.append(v)
             else:
-                out += self.word_ids(path, what.split())
+                out += [word_id(path, w) for w in what.split()]
         return out
 
 
-class _Words(dict):
-    def __init__(self, reader: Reader, path: int):
-        self.reader, self.path = reader, path
+def word_id(path: int, word: str) -> int:
+    return path << 44 | xxhash.xxh3_64_intdigest(word, path + 1) >> 21 << 1 | 1
 
-    def __missing__(self, word: str) -> int:
-        self.reader.known += 1
-        v = self[word] = self.path << 44 | xxhash.xxh3_64_intdigest(word, self.path + 1) >> 21 << 1 | 1
-        return v
+
+def decoded(text: str) -> str:
+    """html.unescape, which calls back for each entity; texts whose only one is &amp; needn't."""
+    return text.replace("&amp;", "&") if text.count("&") == text.count("&amp;") else html.unescape(text)
 
 
 def page_random(ids: np.ndarray) -> np.ndarray:
@@ -206,26 +196,35 @@ def out_of_order(places: list[int]) -> set[int]:
 class Template:
     """The classes of one host: the frame's tokens in order, and of each other class its tokens in order.
 
-    Slots are numbered: 0 before the frame, then one after each token of the frame, then of each class.
+    Slots are numbered: 0 before the frame, then one after each token of the frame, then of each class. Names are the numbers
+    of words, at least of those in the classes, and words are these words, with spaces between.
     """
 
-    def __init__(self, frame: list[int], nested: list[list[int]]):
+    def __init__(self, frame: list[int], nested: list[list[int]], names: list[int], words: str):
         self.classes = [frame, *nested]
         self.place = {t: (c, i) for c, tokens in enumerate(self.classes) for i, t in enumerate(tokens)}
         self.base = [0]
         for tokens in self.classes:
             self.base.append(self.base[-1] + len(tokens))
-        self.worded = {t >> 44 for t in self.place if t & 1}
+        self.worded = by_path((t, w) for t, w in zip(names, words.split(" ")) if t in self.place)
 
     def tokens(self, reader: Reader, page: str) -> list[tuple[int, str]]:
-        """Numbers and what is shown of tags and words; texts of paths without words of the template are one, numbered -1."""
+        """Numbers and what is shown of tags and words of the template; what stands between them in a text is one, numbered -1."""
         out: list[tuple[int, str]] = []
         for number, path, what in reader.items(page):
-            if number >= 0 or path not in self.worded:
+            known = self.worded.get(path) if number < 0 else None
+            if known is None:
                 out.append((number, what))
-            else:
-                words = what.split()
-                out += zip(reader.word_ids(path, words), words)
+                continue
+            words, last = what.split(), 0
+            for k, t in enumerate(map(known.get, words)):
+                if t is not None:
+                    if k > last:
+                        out.append((-1, " ".join(words[last:k])))
+                    out.append((t, words[k]))
+                    last = k + 1
+            if last < len(words):
+                out.append((-1, " ".join(words[last:]) if last else what))
         return out
 
     def beside(self, tokens: list[tuple[int, str]]) -> dict[int, bool]:
@@ -296,11 +295,19 @@ class Template:
         return rest, seen, {tokens[k][0] for k in wrong}
 
 
+def by_path(words) -> dict[int, dict[str, int]]:
+    """Of (number, word), the numbers of each path's words."""
+    out: dict[int, dict[str, int]] = {}
+    for t, w in words:
+        out.setdefault(t >> 44, {})[w] = t
+    return out
+
+
 def _template(known: dict[str, Template], row) -> Template:
     if row.host not in known:
         if len(known) > 5000:
             known.clear()
-        known[row.host] = Template(row.frame, row.nested)
+        known[row.host] = Template(row.frame, row.nested, row.names, row.words)
     return known[row.host]
 
 
@@ -336,31 +343,42 @@ def _different(h: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, more): how many more pages of a block of the host's pages a token is on than the most that is too few there.
+    """(host, token, word, more): how many more pages of a block of the host's pages a token is on than the most that is too few there.
 
     Rows of tokens -1 and -2 have that number and the number of pages. A token is on as many pages of the host as these
-    numbers come to, or fewer: in blocks that don't give it, it is on too few.
+    numbers come to, or fewer: in blocks that don't give it, it is on too few. Tags have no word.
     """
     reader = Reader()
-    held: dict[str, list] = {}
+    held: dict[str, tuple[Counter, dict[int, Counter]]] = {}
     size = 0
 
     def send() -> Iterator[pa.RecordBatch]:
-        for host, (n, parts) in held.items():
+        for host, (tags, texts) in held.items():
+            n = tags.pop(-2)
             few = max(0, int(np.ceil(SUPPORT * n - 1e-9)) - 1)
-            u, c = np.unique(np.concatenate(parts), return_counts=True)
-            token, more = np.r_[-1, -2, u[c > few]], np.r_[few, n, c[c > few] - few]
-            for a in range(0, len(token), 50_000):
-                t = token[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(t), pa.string()), pa.array(t), pa.array(more[a : a + 50_000])], ["host", "token", "more"])
+            words = ((word_id(path, w), w, c - few) for path, counts in texts.items() for w, c in counts.items() if c > few)
+            rows = chain([(-1, None, few), (-2, None, n)], ((t, None, c - few) for t, c in tags.items() if c > few), words)
+            while some := list(islice(rows, 50_000)):
+                token, word, more = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(token), pa.string()), pa.array(token, pa.int64()), pa.array(word, pa.string()), pa.array(more, pa.int64())], ["host", "token", "word", "more"])
 
     for b in batches:
         for page, host in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
-            u = np.unique(np.array(reader.numbers(page), np.int64))
-            h = held.setdefault(host, [0, []])
-            h[0] += 1
-            h[1].append(u)
-            size += len(u)
+            tags, texts = held.setdefault(host, (Counter(), {}))
+            met, here = {-2}, {}
+            for v, path, what in reader.items(page):
+                if v >= 0:
+                    met.add(v)
+                else:
+                    here.setdefault(path, set()).update(what.split())
+            size -= len(tags)
+            tags.update(met)
+            size += len(tags)
+            for path, words in here.items():
+                counts = texts.setdefault(path, Counter())
+                size -= len(counts)
+                counts.update(words)
+                size += len(counts)
             if size >= BLOCK:
                 yield from send()
                 held, size = {}, 0
@@ -376,6 +394,7 @@ def _enough(n):
 def _count(source) -> Iterator[pa.RecordBatch]:
     """Sums over the pages at hand, for each host and token asked for."""
     reader, names, known = Reader(), [], {}
+    none, other = {}, repeat(-1)
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -383,7 +402,9 @@ def _count(source) -> Iterator[pa.RecordBatch]:
         if held:
             h, *cols = _added(*(np.concatenate(x) for x in zip(*held)))
             for a in range(0, len(h), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(h[a : a + 50_000])), *(pa.array(x[a : a + 50_000]) for x in cols)], ["host", "token", "pages", "occ", "fp", "place", "once"])
+                at, token = h[a : a + 50_000], cols[0][a : a + 50_000]
+                word = [known[names[i]][2].get(t) for i, t in zip(at.tolist(), token.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(at)), pa.array(word, pa.string()), *(pa.array(x[a : a + 50_000]) for x in cols)], ["host", "word", "token", "pages", "occ", "fp", "place", "once"])
 
     for b, rows in source:
         rand = page_random(b.column(0).to_numpy())
@@ -391,12 +412,20 @@ def _count(source) -> Iterator[pa.RecordBatch]:
             if row is None:
                 continue
             if row.host not in known:
-                known[row.host] = len(names), np.sort(np.array(row.tokens, np.int64))
+                words = dict(zip(row.names, row.words.split(" ")))
+                known[row.host] = len(names), set(row.tags), words, by_path(words.items())
                 names.append(row.host)
-            host, asked = known[row.host]
-            u, place, c = np.unique(np.array(reader.numbers(page), np.int64), return_index=True, return_counts=True)
-            ok = asked[np.minimum(np.searchsorted(asked, u), len(asked) - 1)] == u
-            u, place, c = u[ok], place[ok], c[ok]
+            host, tags, _, texts = known[row.host]
+            tokens: list[int] = []
+            for v, path, what in reader.items(page):
+                if v >= 0:
+                    tokens.append(v if v in tags else -1)
+                else:
+                    tokens += map(texts.get(path, none).get, what.split(), other)
+            here = np.array(tokens, np.int64)
+            at = np.flatnonzero(here >= 0)
+            u, place, c = np.unique(here[at], return_index=True, return_counts=True)
+            place = at[place]
             held.append((np.full(len(u), host), u, np.ones(len(u), np.int64), c, (c.astype(np.uint64) * r).view(np.int64), place, (c == 1).astype(np.int64)))
             size += len(u)
             if size >= HELD:
@@ -413,24 +442,29 @@ def _count(source) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, frame, nested): tokens of the frame and of the valid classes, in order."""
     h = _different(_hosted(pages))
-    bound = cut(h.mapInArrow(_blocks, "host string, token bigint, more bigint").groupBy("host", "token").agg(F.sum("more").alias("more")))
+    bound = cut(h.mapInArrow(_blocks, "host string, token bigint, word string, more bigint").groupBy("host", "token", "word").agg(F.sum("more").alias("more")))
     per = bound.where("token < 0").groupBy("host").agg(F.sum(F.when(F.col("token") == -1, F.col("more"))).alias("few"), F.sum(F.when(F.col("token") == -2, F.col("more"))).alias("n"))
     per = cut(per.where(F.col("n") >= TEMPLATED))
     asked = join_small(bound.where("token >= 0"), per, "host").where(F.col("more") + F.col("few") >= _enough(F.col("n")))
-    frequent = cut(asked.groupBy("host").agg(F.collect_list("token").alias("tokens")))
-    counted = _by_host(h, frequent, _count, "host string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
+    word = F.when(F.col("word").isNotNull(), F.struct("token", "word"))
+    spelt = lambda pairs: (F.transform(pairs, lambda x: x.token).alias("names"), F.array_join(F.transform(pairs, lambda x: x.word), " ").alias("words"))
+    frequent = asked.groupBy("host").agg(F.collect_list(F.when(F.col("word").isNull(), F.col("token"))).alias("tags"), F.collect_list(word).alias("pairs"))
+    frequent = cut(frequent.select("host", "tags", *spelt("pairs")))
+    counted = _by_host(h, frequent, _count, "host string, word string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
     # sums wrap around: two halves are added apart and put together
     low, high = F.sum(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned("fp", 32))
-    total = cut(counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once")))
+    total = cut(counted.groupBy("host", "token", "word").agg(F.sum("pages").alias("pages"), F.sum("occ").alias("occ"), low.alias("low"), high.alias("high"), F.sum("place").alias("place"), F.sum("once").alias("once")))
     fp = F.struct(F.col("low").bitwiseAND(0xFFFFFFFF), (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF))
     supported = join_small(total, per.select("host", "n"), "host").where(F.col("pages") >= _enough(F.col("n")))
     whole = F.col("once") == F.col("n")
     is_frame = F.col("once") >= F.col("n") - F.floor(ODD * F.col("n"))
     # tokens of a class are on the same pages, so their mean first places are in the order that they have on the pages
     by_place = F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x.token)
-    classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens")).where(F.col("frame") | (F.size("tokens") >= LEAST))
+    classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens"), F.collect_list(word).alias("pairs")).where(F.col("frame") | (F.size("tokens") >= LEAST))
     frames = F.sort_array(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frames")
-    found = cut(classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")))
+    nested = F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")
+    found = classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), nested, F.flatten(F.collect_list("pairs")).alias("pairs"))
+    found = cut(found.select("host", "n", "frames", "plain", "nested", *spelt("pairs")))
 
     def order(source) -> Iterator[pa.RecordBatch]:
         """The orders in which the frame's tokens stand on the pages that have most of them."""
@@ -444,7 +478,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 if row.host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[row.host] = Template([t for c in row.frames for t in c], [])
+                    known[row.host] = Template([t for c in row.frames for t in c], [], row.names, row.words)
                 t = known[row.host]
                 here = [x for x, _ in t.tokens(reader, page) if x in t.place]
                 times = Counter(here)
@@ -457,13 +491,13 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([acc[k] for k in keys], pa.int64()), pa.array([np.frombuffer(k[1], np.int64).tolist() for k in keys], pa.list_(pa.int64()))], ["host", "times", "seq"])
 
     none = F.array().cast("array<bigint>")
-    ordered = found.select("host", "n", F.flatten("frames").alias("frame"), "nested")
+    ordered = found.select("host", "n", F.flatten("frames").alias("frame"), "nested", "names", "words")
     if not found.where("not plain").isEmpty():
-        seen = _by_host(h, found.select("host", "plain", "frames"), order, "host string, times bigint, seq array<bigint>").groupBy("host", "seq").agg(F.sum("times").alias("times"))
+        seen = _by_host(h, found.select("host", "plain", "frames", "names", "words"), order, "host string, times bigint, seq array<bigint>").groupBy("host", "seq").agg(F.sum("times").alias("times"))
         best = seen.groupBy("host").agg(F.max(F.struct(F.size("seq"), "times", "seq")).alias("m")).select("host", F.col("m.seq").alias("seq"))
         # a class that isn't on the page with most of the frame is one of the others
         apart = F.filter("frames", lambda c: (F.size(c) >= LEAST) & F.col("seq").isNotNull() & ~F.array_contains(F.coalesce("seq", none), c[0]))
-        ordered = found.join(best, "host", "left").select("host", "n", F.coalesce("seq", F.flatten("frames")).alias("frame"), F.concat(apart, "nested").alias("nested"))
+        ordered = found.join(best, "host", "left").select("host", "n", F.coalesce("seq", F.flatten("frames")).alias("frame"), F.concat(apart, "nested").alias("nested"), "names", "words")
     ordered = cut(ordered)
 
     def check(source) -> Iterator[pa.RecordBatch]:
@@ -471,19 +505,26 @@ def templates(pages: DataFrame) -> DataFrame:
         is in the slot at, -1 if out of order or in several."""
         reader, known = Reader(), {}
         for b, rows in source:
-            acc: Counter[tuple[str, int, int]] = Counter()
+            acc: dict[str, tuple[Counter, Counter, Counter, Counter]] = {}
             for page, row in zip(b.column(2).to_pylist(), rows):
                 if row is None:
                     continue
                 t = _template(known, row)
                 tokens = t.tokens(reader, page)
                 beside = t.beside(tokens)
-                _, seen, late = t.walk(tokens, {x for x, ok in beside.items() if not ok})
-                acc.update((row.host, -1, x) for x in late)
-                acc.update((row.host, -3 if ok else -2, x) for x, ok in beside.items())
-                acc.update((row.host, c, lo if good and lo == hi else -1) for c, (good, lo, hi) in seen.items())
-            keys = list(acc)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array([acc[k] for k in keys], pa.int64())], ["host", "c", "at", "pages"])
+                lone = {x for x, ok in beside.items() if not ok}
+                _, seen, late = t.walk(tokens, lone)
+                if row.host not in acc:
+                    acc[row.host] = Counter(), Counter(), Counter(), Counter()
+                out, alone, near, slots = acc[row.host]
+                out.update(late)
+                alone.update(lone)
+                near.update(beside.keys() - lone)
+                slots.update([(c, lo if good and lo == hi else -1) for c, (good, lo, hi) in seen.items()])
+            rows = [(h, c, x, n) for h, sums in acc.items() for c, s in zip((-1, -2, -3), sums) for x, n in s.items()]
+            rows += [(h, c, x, n) for h, sums in acc.items() for (c, x), n in sums[3].items()]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), *[pa.int64()] * 3))], ["host", "c", "at", "pages"])
 
     checked = cut(_by_host(h, ordered, check, "host string, c bigint, at bigint, pages bigint").groupBy("host", "c", "at").agg(F.sum("pages").alias("pages")))
     late = checked.where("c = -1").join(ordered.select("host", "n"), "host").where(F.col("pages") > F.floor(ODD * F.col("n"))).select("host", "at")
@@ -494,14 +535,14 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = per.where(F.col("most") >= F.col("pages") - F.floor(ODD * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list(F.col("c").cast("int"))).alias("valid"))
     left = lambda c: F.array_except(c, F.coalesce("gone", none))
     nested = F.transform(F.coalesce("valid", F.array().cast("array<int>")), lambda c: left(F.get("nested", c - 1)))
-    return cut(ordered.join(gone, "host", "left").join(valid, "host", "left").select("host", left("frame").alias("frame"), F.filter(nested, lambda c: F.size(c) >= LEAST).alias("nested")))
+    return cut(ordered.join(gone, "host", "left").join(valid, "host", "left").select("host", left("frame").alias("frame"), F.filter(nested, lambda c: F.size(c) >= LEAST).alias("nested"), "names", "words"))
 
 
 def extract(pages: DataFrame, template: DataFrame) -> DataFrame:
     """(page_id, host, slot, text): what stands in each slot and isn't template, block tags as line breaks."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        reader, known, whole = Reader(), {}, Template([], [])
+        reader, known, whole = Reader(), {}, Template([], [], [], "")
         for b, rows in source:
             out: list[tuple] = []
             for page_id, host, page, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), rows):
