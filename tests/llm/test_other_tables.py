@@ -402,9 +402,10 @@ def test_only_words_on_enough_pages_are_hashed(monkeypatch):
     assert not [x for x in hashed if str(x[0])[:1] == "w"] and any(x[0] == "Menu" for x in hashed)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 100])
-def test_tokens_that_can_be_on_enough_pages_against_brute_force(monkeypatch, block):
+@pytest.mark.parametrize("block, letters", [(1 << 20, 1 << 27), (100, 1 << 27), (1 << 20, 5000)])
+def test_tokens_that_can_be_on_enough_pages_against_brute_force(monkeypatch, block, letters):
     monkeypatch.setattr(pages, "BLOCK", block)
+    monkeypatch.setattr(pages, "LETTERS", letters)
     batches, table = wordy(random.Random(36), 60)
     numbers = [pages.Reader().numbers(t) for _, _, t in table]
     got = blocks_of(batches)
@@ -419,14 +420,16 @@ def test_tokens_that_can_be_on_enough_pages_against_brute_force(monkeypatch, blo
         for t in {t for x in numbers for t in x}:
             on = sum(t in x for x, row in zip(numbers, table) if row[1] == host)
             assert on <= bound.get(t, 0) + few
-            assert block == 100 or bound.get(t, 0) == max(0, on - few)
+            assert block == 100 or letters == 5000 or bound.get(t, 0) == max(0, on - few)
 
 
-def test_counts_of_tokens_asked_for_against_all_tokens(monkeypatch):
-    monkeypatch.setattr(pages, "HELD", 200)
+@pytest.mark.parametrize("block, held", [(1 << 20, 200), (1, 1 << 20), (1 << 20, 1 << 20)])
+def test_counts_of_tokens_asked_for_against_all_tokens(monkeypatch, block, held):
+    monkeypatch.setattr(pages, "HELD", held)
     batches, table = wordy(random.Random(37), 60)
-    asked = {h: [(t, w) for x, t, w, m in blocks_of(batches) if x == h and t >= 0] for h in ("h0", "h1")}
+    asked = {h: [(t, w) for x, t, w, m in sorted(blocks_of(batches), key=lambda x: x[1]) if x == h and t >= 0] for h in ("h0", "h1")}
     row = {h: SimpleNamespace(host=h, tags=[t for t, w in x if w is None], names=[t for t, w in x if w], words=" ".join(w for _, w in x if w)) for h, x in asked.items()}
+    monkeypatch.setattr(pages, "BLOCK", block)
     got = {}
     for b in pages._count((b, [row[h] for h in b.column(1).to_pylist()]) for b in batches):
         for host, word, token, *sums in b.to_pandas().itertuples(index=False):
@@ -448,7 +451,7 @@ def test_words_that_are_not_template_go_together():
         word = {pages.word_id(p, v): v for n, p, w in items if n < 0 for v in w.split()}
         tokens = r.sample(sorted(word), 6) + r.sample(sorted({n for n, _, _ in items if n >= 0}), 6)
         r.shuffle(tokens)
-        names = [t for t in tokens if t & 1]
+        names = sorted(t for t in tokens if t & 1)
         t = pages.Template(tokens[:5], [tokens[5:8], tokens[8:]], names, " ".join(word[x] for x in names))
         paths = {x >> 44 for x in names}
         alone = [x for n, p, w in items for x in ([(pages.word_id(p, v), v) for v in w.split()] if n < 0 and p in paths else [(n, w)])]

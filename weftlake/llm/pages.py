@@ -36,8 +36,9 @@ TEMPLATED = 2
 SUPPORT, PAGES, LEAST = 0.1, 3, 2
 #: Share of pages on which a class, a word or a token of the frame may fail: error pages, truncated ones.
 ODD = 0.05
-#: Different tokens of a block of pages, by host, and those whose counts a task adds up before it gives them on.
-BLOCK, HELD = 1 << 20, 300_000
+#: Different tokens of a block of pages, by host, or asked for of the hosts that a task counts; characters of a block's pages;
+#: tokens whose counts a task adds up before it gives them on.
+BLOCK, LETTERS, HELD = 1 << 20, 1 << 27, 300_000
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<![^>]*>?""",
     re.S | re.I,
@@ -196,8 +197,8 @@ def out_of_order(places: list[int]) -> set[int]:
 class Template:
     """The classes of one host: the frame's tokens in order, and of each other class its tokens in order.
 
-    Slots are numbered: 0 before the frame, then one after each token of the frame, then of each class. Names are the numbers
-    of words, at least of those in the classes, and words are these words, with spaces between.
+    Slots are numbered: 0 before the frame, then one after each token of the frame, then of each class. Names are the sorted
+    numbers of words, at least of those in the classes, and words are these words, with spaces between.
     """
 
     def __init__(self, frame: list[int], nested: list[list[int]], names: list[int], words: str):
@@ -206,7 +207,8 @@ class Template:
         self.base = [0]
         for tokens in self.classes:
             self.base.append(self.base[-1] + len(tokens))
-        self.worded = by_path((t, w) for t, w in zip(names, words.split(" ")) if t in self.place)
+        mine = [(t, w) for t, w in zip(names, words.split(" ")) if t in self.place]
+        self.worded = by_path([t for t, _ in mine], [w for _, w in mine])
 
     def tokens(self, reader: Reader, page: str) -> list[tuple[int, str]]:
         """Numbers and what is shown of tags and words of the template; what stands between them in a text is one, numbered -1."""
@@ -295,12 +297,11 @@ class Template:
         return rest, seen, {tokens[k][0] for k in wrong}
 
 
-def by_path(words) -> dict[int, dict[str, int]]:
-    """Of (number, word), the numbers of each path's words."""
-    out: dict[int, dict[str, int]] = {}
-    for t, w in words:
-        out.setdefault(t >> 44, {})[w] = t
-    return out
+def by_path(names: list[int], words: list[str]) -> dict[int, dict[str, int]]:
+    """Each path's words with their numbers, which are sorted and so begin with one path after the other."""
+    paths = np.array(names, np.int64) >> 44
+    edges = [*np.flatnonzero(np.diff(paths, prepend=-1)).tolist(), len(names)]
+    return {int(paths[a]): dict(zip(words[a:b], names[a:b])) for a, b in zip(edges, edges[1:])}
 
 
 def _template(known: dict[str, Template], row) -> Template:
@@ -350,7 +351,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     reader = Reader()
     held: dict[str, tuple[Counter, dict[int, Counter]]] = {}
-    size = 0
+    size = letters = 0
 
     def send() -> Iterator[pa.RecordBatch]:
         for host, (tags, texts) in held.items():
@@ -379,9 +380,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size -= len(counts)
                 counts.update(words)
                 size += len(counts)
-            if size >= BLOCK:
+            letters += len(page)
+            if size >= BLOCK or letters >= LETTERS:
                 yield from send()
-                held, size = {}, 0
+                held, size, letters = {}, 0, 0
                 T.trim()
     yield from send()
 
@@ -396,14 +398,15 @@ def _count(source) -> Iterator[pa.RecordBatch]:
     reader, names, known = Reader(), [], {}
     none, other = {}, repeat(-1)
     held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    size = asked = 0
 
     def send() -> Iterator[pa.RecordBatch]:
         if held:
             h, *cols = _added(*(np.concatenate(x) for x in zip(*held)))
             for a in range(0, len(h), 50_000):
                 at, token = h[a : a + 50_000], cols[0][a : a + 50_000]
-                word = [known[names[i]][2].get(t) for i, t in zip(at.tolist(), token.tolist())]
+                spelt = {i: {t: w for x in known[names[i]][2].values() for w, t in x.items()} for i in np.unique(at).tolist()}
+                word = [spelt[i].get(t) for i, t in zip(at.tolist(), token.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(at)), pa.array(word, pa.string()), *(pa.array(x[a : a + 50_000]) for x in cols)], ["host", "word", "token", "pages", "occ", "fp", "place", "once"])
 
     for b, rows in source:
@@ -412,10 +415,10 @@ def _count(source) -> Iterator[pa.RecordBatch]:
             if row is None:
                 continue
             if row.host not in known:
-                words = dict(zip(row.names, row.words.split(" ")))
-                known[row.host] = len(names), set(row.tags), words, by_path(words.items())
+                known[row.host] = len(names), set(row.tags), by_path(row.names, row.words.split(" "))
                 names.append(row.host)
-            host, tags, _, texts = known[row.host]
+                asked += len(row.tags) + len(row.names)
+            host, tags, texts = known[row.host]
             tokens: list[int] = []
             for v, path, what in reader.items(page):
                 if v >= 0:
@@ -428,13 +431,13 @@ def _count(source) -> Iterator[pa.RecordBatch]:
             place = at[place]
             held.append((np.full(len(u), host), u, np.ones(len(u), np.int64), c, (c.astype(np.uint64) * r).view(np.int64), place, (c == 1).astype(np.int64)))
             size += len(u)
-            if size >= HELD:
+            if size >= HELD or asked >= BLOCK:
                 held[:] = [_added(*(np.concatenate(x) for x in zip(*held)))]
                 size = len(held[0][0])
-                if size >= HELD // 2:
+                if size >= HELD // 2 or asked >= BLOCK:
                     yield from send()
                     held.clear()
-                    names, known, size = [], {}, 0
+                    names, known, size, asked = [], {}, 0, 0
                     T.trim()
     yield from send()
 
@@ -448,7 +451,7 @@ def templates(pages: DataFrame) -> DataFrame:
     asked = join_small(bound.where("token >= 0"), per, "host").where(F.col("more") + F.col("few") >= _enough(F.col("n")))
     word = F.when(F.col("word").isNotNull(), F.struct("token", "word"))
     spelt = lambda pairs: (F.transform(pairs, lambda x: x.token).alias("names"), F.array_join(F.transform(pairs, lambda x: x.word), " ").alias("words"))
-    frequent = asked.groupBy("host").agg(F.collect_list(F.when(F.col("word").isNull(), F.col("token"))).alias("tags"), F.collect_list(word).alias("pairs"))
+    frequent = asked.groupBy("host").agg(F.collect_list(F.when(F.col("word").isNull(), F.col("token"))).alias("tags"), F.sort_array(F.collect_list(word)).alias("pairs"))
     frequent = cut(frequent.select("host", "tags", *spelt("pairs")))
     counted = _by_host(h, frequent, _count, "host string, word string, token bigint, pages bigint, occ bigint, fp bigint, place bigint, once bigint")
     # sums wrap around: two halves are added apart and put together
@@ -463,7 +466,7 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = supported.groupBy("host", "n", fp.alias("fp"), is_frame.alias("frame"), whole.alias("whole")).agg(by_place.alias("tokens"), F.collect_list(word).alias("pairs")).where(F.col("frame") | (F.size("tokens") >= LEAST))
     frames = F.sort_array(F.collect_list(F.when(F.col("frame"), F.col("tokens")))).alias("frames")
     nested = F.sort_array(F.collect_list(F.when(~F.col("frame"), F.col("tokens")))).alias("nested")
-    found = classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), nested, F.flatten(F.collect_list("pairs")).alias("pairs"))
+    found = classes.groupBy("host", "n").agg(frames, F.bool_and(~F.col("frame") | F.col("whole")).alias("plain"), nested, F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     found = cut(found.select("host", "n", "frames", "plain", "nested", *spelt("pairs")))
 
     def order(source) -> Iterator[pa.RecordBatch]:
